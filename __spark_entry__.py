@@ -30,7 +30,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 BRANDS = ["ththhe.com", "thther.org", "tionsh.net"]
 PROVIDERS = ["blog.theran.com", "www.tionble.com"]
 DGA_SCORE = 30.0
-TUNNEL = {"min_queries": 8, "score_threshold": 35.0}
+TUNNEL = {"min_queries": 8, "score_threshold": 22.0}
 BEACON = {"min_queries": 6, "cv_threshold": 1.0, "score_threshold": 20.0}
 BURST = {"window_minutes": 1440.0, "count_threshold": 4, "min_total": 4}
 PARAMS = {
@@ -194,13 +194,9 @@ def beaconing_heavy_pairs(spark, sf_dir):
 
 
 def _burst(spark, sf_dir, heavy_min_rows=HEAVY_MIN_ROWS, slice_us=60_000_000):
-    from nametrail.operators.nxdomain import burst_names
-
-    events = dns_events(spark, sf_dir)
     hosts = ops.nxdomain_features(
-        events, **BURST, heavy_min_rows=heavy_min_rows, slice_us=slice_us)
-    names = burst_names(events, hosts, BURST["window_minutes"])
-    return hosts.join(names, "src_ip").select(
+        dns_events(spark, sf_dir), **BURST, heavy_min_rows=heavy_min_rows, slice_us=slice_us)
+    return hosts.select(
         "src_ip", _long("max_nxdomain_in_window"), _long("total_nxdomain_events"),
         _long("host_total"), _six("host_nxdomain_ratio"), _long("end_us"),
         F.array_join("names", ";").alias("names"), _six("score"))

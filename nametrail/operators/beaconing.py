@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from nametrail.functions.scoring import capped
 from nametrail.operators.alerts import to_alerts
-from nametrail.operators.skew import HEAVY_MIN_ROWS, sliced
+from nametrail.operators.skew import HEAVY_MIN_ROWS, heavy_by_sketch, sliced
 
 # Score weights and the query count that counts as full.
 REGULARITY_WEIGHT, COUNT_WEIGHT = 0.7, 0.3
@@ -24,9 +24,10 @@ def interval_stats(events: DataFrame, min_queries: int, heavy_min_rows: int,
     Queries at one instant are gaps of zero.
     """
     rows = events.select(*KEY, F.unix_micros("timestamp").alias("us"))
+    heavy = heavy_by_sketch(rows, KEY, heavy_min_rows)
     in_slice = Window.partitionBy(*KEY, "slice").orderBy("us")
     slices = (
-        sliced(rows, KEY, slice_us, heavy_min_rows)
+        sliced(rows, KEY, slice_us, heavy)
         .withColumn("gap", (F.col("us") - F.lag("us").over(in_slice)) / 1_000_000)
         .groupBy(*KEY, "slice")
         .agg(F.sum("copies").alias("n"), F.min("us").alias("first_us"),

@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nametrail.operators.alerts import joined, percent, to_alerts
-from nametrail.operators.skew import HEAVY_MIN_ROWS, sliced
+from nametrail.operators.rollup import pair_rollup
+from nametrail.operators.skew import HEAVY_MIN_ROWS, heavy_by_count, sliced
 
 # Score weights, sample names per alert.
 BURST_WEIGHT, RATIO_WEIGHT = 0.6, 0.4
@@ -18,7 +19,7 @@ def _window_us(window_minutes: float) -> int:
     return round(window_minutes * 60_000_000)
 
 
-def largest_windows(failed: DataFrame, window_us: int, min_count: int, heavy_min_rows: int,
+def largest_windows(failed: DataFrame, heavy: DataFrame, window_us: int, min_count: int,
                     slice_us: int) -> DataFrame:
     """Per host: most failures in a closed window, and when that window ends.
 
@@ -30,14 +31,14 @@ def largest_windows(failed: DataFrame, window_us: int, min_count: int, heavy_min
     carry the sum of all earlier slices. The first window with the largest count
     wins. Hosts whose maximum stays below ``min_count`` may be left out.
     """
-    steps = sliced(failed.select("src_ip", "us"), ["src_ip"], slice_us, heavy_min_rows).select(
+    steps = sliced(failed.select("src_ip", "us"), ["src_ip"], slice_us, heavy).select(
         "src_ip", F.col("slice").isNotNull().alias("heavy"),
         F.inline(F.array(
             F.struct(F.col("us").alias("at"), F.lit(0).alias("leaves"),
                      F.col("copies").alias("delta")),
             F.struct((F.col("us") + window_us).alias("at"), F.lit(1).alias("leaves"),
                      (-F.col("copies")).alias("delta")))),
-    ).withColumn("slice", F.when(F.col("heavy"), F.floor(F.col("at") / slice_us)))
+    ).withColumn("slice", F.when(F.col("heavy"), F.expr(f"at div {slice_us}")))
 
     so_far = (
         Window.partitionBy("src_ip", "slice").orderBy("at", "leaves")
@@ -70,30 +71,46 @@ def _failures(events: DataFrame) -> DataFrame:
         "src_ip", "query_name", F.unix_micros("timestamp").alias("us"))
 
 
-def nxdomain_features(events: DataFrame, window_minutes: float = 5.0, count_threshold: int = 20,
-                      min_total: int = 10, *, heavy_min_rows: int = HEAVY_MIN_ROWS,
-                      slice_us: int = SLICE_US) -> DataFrame:
-    """Burst size, window end, failure ratio and raw score per flagged host."""
-    bursts = largest_windows(
-        _failures(events), _window_us(window_minutes), count_threshold, heavy_min_rows, slice_us)
-    hosts = events.groupBy("src_ip").agg(
-        F.count("*").alias("host_total"),
-        F.count_if(F.col("response_code") == "NXDOMAIN").alias("total_nxdomain_events"),
-    ).where(F.col("total_nxdomain_events") >= max(min_total, count_threshold))
-    ratio = F.col("total_nxdomain_events") / F.col("host_total")
+def host_failures(pairs: DataFrame) -> DataFrame:
+    """Queries and failures per host, from the rollup."""
+    return pairs.groupBy("src_ip").agg(
+        F.sum("n").alias("host_total"), F.sum("n_nx").alias("total_nxdomain_events"))
+
+
+def host_bursts(events: DataFrame, hosts: DataFrame, window_minutes: float, count_threshold: int,
+                heavy_min_rows: int, slice_us: int) -> DataFrame:
+    heavy = heavy_by_count(hosts, ["src_ip"], "total_nxdomain_events", heavy_min_rows)
+    return largest_windows(
+        _failures(events), heavy, _window_us(window_minutes), count_threshold, slice_us)
+
+
+def _scored(bursts: DataFrame, hosts: DataFrame, count_threshold: int,
+            min_total: int) -> DataFrame:
     score = 100 * F.least(
         F.lit(1.0),
         BURST_WEIGHT * (F.col("max_nxdomain_in_window") / F.lit(count_threshold * 2.0))
         + RATIO_WEIGHT * F.col("host_nxdomain_ratio"))
     return (
-        bursts.join(hosts, "src_ip")
-        .withColumn("host_nxdomain_ratio", ratio)
+        bursts.join(hosts.where(F.col("total_nxdomain_events") >= min_total), "src_ip")
+        .withColumn("host_nxdomain_ratio", F.col("total_nxdomain_events") / F.col("host_total"))
         .select("src_ip", "max_nxdomain_in_window", "total_nxdomain_events", "host_total",
                 "host_nxdomain_ratio", "end_us",
                 F.timestamp_micros("end_us").alias("last_seen"), score.alias("score"))
     )
 
 
+def nxdomain_features(events: DataFrame, window_minutes: float = 5.0, count_threshold: int = 20,
+                      min_total: int = 10, *, pairs: DataFrame | None = None,
+                      heavy_min_rows: int = HEAVY_MIN_ROWS,
+                      slice_us: int = SLICE_US) -> DataFrame:
+    """Burst size, window end, sample names, failure ratio and raw score per flagged host."""
+    hosts = host_failures(pair_rollup(events) if pairs is None else pairs)
+    bursts = host_bursts(
+        events, hosts, window_minutes, count_threshold, heavy_min_rows, slice_us)
+    return _scored(bursts, hosts, count_threshold, min_total).join(
+        burst_names(events, bursts, window_minutes), "src_ip")
+
+
 def burst_names(events: DataFrame, bursts: DataFrame, window_minutes: float) -> DataFrame:
     """``src_ip, names``: the names that failed most inside each burst window.
 
@@ -103,9 +120,9 @@ def burst_names(events: DataFrame, bursts: DataFrame, window_minutes: float) ->
     """
     width = _window_us(window_minutes)
     salt = F.pmod(F.xxhash64("us", "query_name"), F.lit(NAME_SALTS))
-    failed = _failures(events).withColumn("bucket", F.floor(F.col("us") / width)).withColumn(
+    failed = _failures(events).withColumn("bucket", F.expr(f"us div {width}")).withColumn(
         "salt", salt)
-    bucket = F.floor(F.col("end_us") / width)
+    bucket = F.expr(f"end_us div {width}")
     spans = (
         bursts.select("src_ip", "end_us", F.explode(F.array(bucket - 1, bucket)).alias("bucket"))
         .withColumn("salt", F.explode(F.array([F.lit(i).cast("bigint")
@@ -127,14 +144,14 @@ def burst_names(events: DataFrame, bursts: DataFrame, window_minutes: float) ->
 
 def detect_nxdomain_spike(events: DataFrame, window_minutes: float = 5.0,
                           count_threshold: int = 20, min_total: int = 10, *,
+                          pairs: DataFrame | None = None,
                           heavy_min_rows: int = HEAVY_MIN_ROWS,
                           slice_us: int = SLICE_US) -> DataFrame:
     flagged = nxdomain_features(
-        events, window_minutes, count_threshold, min_total,
+        events, window_minutes, count_threshold, min_total, pairs=pairs,
         heavy_min_rows=heavy_min_rows, slice_us=slice_us)
-    named = flagged.join(burst_names(events, flagged, window_minutes), "src_ip")
     return to_alerts(
-        named, "nxdomain_spike",
+        flagged, "nxdomain_spike",
         domain=joined(F.col("names")), src_ip=F.col("src_ip"), mitre_id="T1590.002",
         reason=F.format_string(
             "%d failed lookups (NXDOMAIN) by %s inside %s minutes; %.0f%% of all its queries "

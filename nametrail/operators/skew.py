@@ -1,57 +1,75 @@
 """Ordered work per key when one key may hold a large share of all rows.
 
 A window over ``partitionBy(key)`` puts every row of a key into one task. Here
-the few heavy keys are found first with a sketch; their rows are merged per
+the few heavy keys are found first; their rows are merged per
 instant and cut into time slices, so that a window runs per (key, slice). The
 caller folds the slices of a key together afterwards. All other keys form one
 slice each. Which keys count as heavy only decides where rows are processed: the
 folded result is the same for every choice.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # At most this many keys are treated as heavy, so the broadcast list of their
 # 8-byte hashes stays below 100 KB whatever the data size. Any key outside the
 # list then holds less than 1 / MAX_HEAVY_KEYS of the rows.
 MAX_HEAVY_KEYS = 4096
-SKETCH_ITEMS = 65_536
+SKETCH_ITEMS = 16_384
+SKETCH_GROUPS = 256
 HEAVY_MIN_ROWS = 2_000_000
 
 _HASH = "_key_hash"
 
 
-def heavy_key_hashes(rows: DataFrame, keys: list[str], min_rows: int) -> DataFrame:
-    """Hashes of the keys with at least ``min_rows`` rows, by a mergeable sketch.
+def key_hash(keys: list[str]) -> Column:
+    return F.xxhash64(*keys).alias(_HASH)
 
-    One map-side aggregation and one tiny exchange, no shuffle of the rows.
+
+def heavy_by_sketch(rows: DataFrame, keys: list[str], min_rows: int) -> DataFrame:
+    """Hashes of the keys with at least ``min_rows`` rows, by mergeable sketches.
+
+    Each map task makes one sketch of bounded size. They are merged in two steps,
+    so the last task sees ``SKETCH_GROUPS`` sketches however many files there are.
+    The rows themselves are not shuffled.
     """
-    sketch = rows.select(F.xxhash64(*keys).alias(_HASH)).agg(
-        F.expr(f"approx_top_k({_HASH}, {MAX_HEAVY_KEYS}, {SKETCH_ITEMS})").alias("top"))
+    group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_group")
+    sketches = (
+        rows.select(key_hash(keys), group)
+        .groupBy("_group")
+        .agg(F.expr(f"approx_top_k_accumulate({_HASH}, {SKETCH_ITEMS})").alias("sketch")))
+    top = sketches.agg(F.expr(
+        f"approx_top_k_estimate(approx_top_k_combine(sketch, {SKETCH_ITEMS}), {MAX_HEAVY_KEYS})"
+    ).alias("top"))
     return (
-        sketch.select(F.inline("top"))
+        top.select(F.inline("top"))
         .where(F.col("count") >= min_rows)
-        .select(F.col("item").alias(_HASH))
-    )
+        .select(F.col("item").alias(_HASH)))
+
+
+def heavy_by_count(totals: DataFrame, keys: list[str], count: str, min_rows: int) -> DataFrame:
+    """The same from known counts per key: the largest ``MAX_HEAVY_KEYS``."""
+    return (
+        totals.where(F.col(count) >= min_rows)
+        .orderBy(F.desc(count), *keys).limit(MAX_HEAVY_KEYS)
+        .select(key_hash(keys)))
 
 
-def sliced(rows: DataFrame, keys: list[str], slice_us: int,
-           heavy_min_rows: int = HEAVY_MIN_ROWS) -> DataFrame:
-    """``keys, us`` -> ``keys, us, copies, slice``.
+def sliced(rows: DataFrame, keys: list[str], slice_us: int, heavy: DataFrame) -> DataFrame:
+    """``keys, us`` -> ``keys, us, copies, slice``; ``heavy`` lists hashed keys.
 
     ``slice`` is null for ordinary keys. Rows of heavy keys are pre-aggregated to
     one row per instant (``copies`` counts them), so a slice has at most
     ``slice_us`` rows. With an empty heavy list AQE removes that branch and its
     scan, and the anti join from the other one.
     """
-    hashed = rows.select(*keys, "us", F.xxhash64(*keys).alias(_HASH))
-    heavy = F.broadcast(heavy_key_hashes(rows, keys, heavy_min_rows))
+    hashed = rows.select(*keys, "us", key_hash(keys))
+    heavy = F.broadcast(heavy)
     ordinary = hashed.join(heavy, _HASH, "left_anti").select(
         *keys, "us", F.lit(1).cast("bigint").alias("copies"),
         F.lit(None).cast("bigint").alias("slice"))
     cut = (
         hashed.join(heavy, _HASH, "left_semi")
         .groupBy(*keys, "us").agg(F.count("*").alias("copies"))
-        .withColumn("slice", F.floor(F.col("us") / slice_us))
-    )
-    return ordinary.unionByName(cut.select(*keys, "us", "copies", "slice"))
+        .select(*keys, "us", "copies", F.expr(f"us div {slice_us}").alias("slice")))
+    return ordinary.unionByName(cut)

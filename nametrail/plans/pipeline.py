@@ -97,11 +97,14 @@ def run_all_detectors(events: DataFrame, params: Mapping[str, dict] | None = Non
                       detectors: Iterable[str] | None = None) -> DataFrame:
     """All alerts, highest severity first, with sequential ids.
 
-    Runs at once: the rollup is kept while the detectors run, and the alert table
-    is checkpointed, so later queries read it instead of repeating detection.
+    Runs at once: the rollup and the found alerts are kept while the ids are
+    given, and the numbered table is checkpointed, so later queries read it
+    instead of repeating detection.
     """
     pairs = pair_rollup(events).persist(StorageLevel.MEMORY_AND_DISK)
+    found = union_alerts(events, params, detectors, pairs).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return number_alerts(union_alerts(events, params, detectors, pairs))
+        return number_alerts(found)
     finally:
+        found.unpersist()
         pairs.unpersist()
