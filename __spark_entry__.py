@@ -83,7 +83,7 @@ def dns_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALERT_TABLES: dict[tuple[str, str], DataFrame] = {}
 
 
-def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def alert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The alert table of a log; written once per application, then read."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _ALERT_TABLES:
@@ -265,61 +265,61 @@ def alerts_union(spark, sf_dir):
 
 
 def host_risk(spark, sf_dir):
-    return risk.compute_host_risk(_alerts(spark, sf_dir)).select(
+    return risk.compute_host_risk(alert_table(spark, sf_dir)).select(
         "src_ip", "risk_score", "risk_label", _long("n_alerts"), _long("n_detectors"),
         "detectors", "top_detector")
 
 
 def risk_leaderboard(spark, sf_dir):
-    return analytics.risk_leaderboard(risk.compute_host_risk(_alerts(spark, sf_dir))).select(
+    return analytics.risk_leaderboard(risk.compute_host_risk(alert_table(spark, sf_dir))).select(
         "src_ip", "risk_score", "risk_label", _long("n_alerts"), _long("n_detectors"),
         "detectors", "top_detector")
 
 
 def tactic_summary(spark, sf_dir):
-    return risk.all_host_tactics(_alerts(spark, sf_dir)).select(
+    return risk.all_host_tactics(alert_table(spark, sf_dir)).select(
         "src_ip", "tactic", _long("n_alerts"), "max_severity", "detectors")
 
 
 def host_tactics(spark, sf_dir):
-    return risk.host_tactic_summary(_alerts(spark, sf_dir), HOST).select(
+    return risk.host_tactic_summary(alert_table(spark, sf_dir), HOST).select(
         "tactic", _long("n_alerts"), "max_severity", "detectors")
 
 
 def timeline(spark, sf_dir):
-    return risk.host_alert_timeline(_alerts(spark, sf_dir), HOST).select(
+    return risk.host_alert_timeline(alert_table(spark, sf_dir), HOST).select(
         _us("timestamp").alias("us"), "detector", "severity_score", "severity_label", "src_ip",
         "domain", "mitre_id")
 
 
 def kill_chain(spark, sf_dir):
-    return risk.kill_chain(_alerts(spark, sf_dir)).select(
+    return risk.kill_chain(alert_table(spark, sf_dir)).select(
         "src_ip", _long("position"), "tactic", "max_severity", "severity_label")
 
 
 def summary_metrics(spark, sf_dir):
-    metrics = risk.summary_metrics(dns_events(spark, sf_dir), _alerts(spark, sf_dir))
+    metrics = risk.summary_metrics(dns_events(spark, sf_dir), alert_table(spark, sf_dir))
     return metrics.select(*[_long(c) for c in metrics.columns])
 
 
 def recall_by_scenario(spark, sf_dir):
     return evaluation.recall_by_scenario(
-        dns_events(spark, sf_dir), _alerts(spark, sf_dir)).select(
+        dns_events(spark, sf_dir), alert_table(spark, sf_dir)).select(
         "scenario", "detector", "unit", _long("ground_truth_total"), _long("caught"), "recall")
 
 
 def false_positives(spark, sf_dir):
     return evaluation.false_positive_summary(
-        dns_events(spark, sf_dir), _alerts(spark, sf_dir)).select(
+        dns_events(spark, sf_dir), alert_table(spark, sf_dir)).select(
         _long("benign_hosts_total"), _long("false_positive_hosts"), "false_positive_rate")
 
 
 def false_positive_hosts(spark, sf_dir):
-    return evaluation.false_positive_hosts(dns_events(spark, sf_dir), _alerts(spark, sf_dir))
+    return evaluation.false_positive_hosts(dns_events(spark, sf_dir), alert_table(spark, sf_dir))
 
 
 def kpis(spark, sf_dir):
-    row = analytics.kpis(dns_events(spark, sf_dir), _alerts(spark, sf_dir))
+    row = analytics.kpis(dns_events(spark, sf_dir), alert_table(spark, sf_dir))
     return row.select(*[_long(c) for c in row.columns])
 
 
@@ -341,34 +341,34 @@ def response_codes(spark, sf_dir):
 
 
 def alerts_by_detector(spark, sf_dir):
-    return analytics.alerts_by_detector(_alerts(spark, sf_dir)).select("detector", _long("n"))
+    return analytics.alerts_by_detector(alert_table(spark, sf_dir)).select("detector", _long("n"))
 
 
 def alert_search(spark, sf_dir):
-    return analytics.alert_search(_alerts(spark, sf_dir), **SEARCH).select(
+    return analytics.alert_search(alert_table(spark, sf_dir), **SEARCH).select(
         _us("timestamp").alias("us"), "detector", "severity_score", "severity_label", "src_ip",
         "domain")
 
 
 def critical_status(spark, sf_dir):
-    return analytics.critical_status(_alerts(spark, sf_dir)).select(
+    return analytics.critical_status(alert_table(spark, sf_dir)).select(
         _long("critical_alerts"), "any_critical_host")
 
 
-def top_critical_alerts(spark, sf_dir):
-    return analytics.top_critical_alerts(_alerts(spark, sf_dir)).select(
+def top_criticalalert_table(spark, sf_dir):
+    return analytics.top_critical_alerts(alert_table(spark, sf_dir)).select(
         "detector", "severity_score", "domain", "src_ip")
 
 
 def domain_detail(spark, sf_dir):
-    return analytics.domain_metrics(dns_events(spark, sf_dir), _alerts(spark, sf_dir), DOMAIN
+    return analytics.domain_metrics(dns_events(spark, sf_dir), alert_table(spark, sf_dir), DOMAIN
                                     ).select(
         _long("total_queries"), _long("unique_hosts"), _six("nxdomain_rate"),
         _long("n_detectors"))
 
 
-def domain_alerts(spark, sf_dir):
-    return analytics.domain_alerts(_alerts(spark, sf_dir), DOMAIN).select(
+def domainalert_table(spark, sf_dir):
+    return analytics.domain_alerts(alert_table(spark, sf_dir), DOMAIN).select(
         "detector", "severity_score", "src_ip", "domain")
 
 
@@ -379,11 +379,11 @@ def domain_history(spark, sf_dir):
 
 
 def flagged_domains(spark, sf_dir):
-    return analytics.domain_options(dns_events(spark, sf_dir), _alerts(spark, sf_dir))
+    return analytics.domain_options(dns_events(spark, sf_dir), alert_table(spark, sf_dir))
 
 
 def default_domain(spark, sf_dir):
-    return analytics.default_domain(dns_events(spark, sf_dir), _alerts(spark, sf_dir))
+    return analytics.default_domain(dns_events(spark, sf_dir), alert_table(spark, sf_dir))
 
 
 def bind_lines(spark, sf_dir):

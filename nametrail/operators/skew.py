@@ -38,7 +38,8 @@ def heavy_by_sketch(rows: DataFrame, keys: list[str], min_rows: int) -> DataFram
         rows.select(key_hash(keys), group)
         .groupBy("_group")
         .agg(F.expr(f"approx_top_k_accumulate({_HASH}, {SKETCH_ITEMS})").alias("sketch")))
-    top = sketches.agg(F.expr(
+    # Grouped by a constant: an empty input must give no row, not an empty sketch.
+    top = sketches.groupBy(F.lit(0).alias("_all")).agg(F.expr(
         f"approx_top_k_estimate(approx_top_k_combine(sketch, {SKETCH_ITEMS}), {MAX_HEAVY_KEYS})"
     ).alias("top"))
     return (
