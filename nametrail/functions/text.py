@@ -62,6 +62,16 @@ def _rare_bigram_template(bigrams: Iterable[str]) -> str:
 RARE_BIGRAM_RATIO = _rare_bigram_template(common_bigrams())
 
 
+def computed_once(value: Column) -> Column:
+    """Keep later filters from repeating a costly expression.
+
+    Catalyst copies the expression into every filter it pushes below the
+    projection. It does not push filters below a generator, so a one-element
+    array is exploded: same rows, one evaluation.
+    """
+    return F.explode(F.array(value))
+
+
 def clean_name(x: str) -> Column:
     return F.expr(CLEAN_NAME.format(x=x))
 

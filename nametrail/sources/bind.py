@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nametrail.functions.text import computed_once
+
 # The two line formats. Groups: time, client, then per format
 # name and type, or response code, name and type.
 LINE_TIME = r"^(\d{2}-[A-Za-z]{3}-\d{4} \d{2}:\d{2}:\d{2}\.\d{3}) "
@@ -33,9 +35,9 @@ def parse_bind_lines(lines: DataFrame, dedupe_errors: bool = False) -> DataFrame
     error_fields = _MARK.join(["$1", "$2", "$4", "$5", "$3"])
     rows = (
         lines.where(F.col("value").contains(": info: client"))
-        .select(
+        .select(computed_once(
             F.when(F.col("value").contains(" query-errors: "), _groups(ERROR_LINE, error_fields))
-            .otherwise(_groups(QUERY_LINE, fields)).alias("f"))
+            .otherwise(_groups(QUERY_LINE, fields))).alias("f"))
         .where(F.size("f") == 5)
         .select(
             F.try_to_timestamp(F.get("f", F.lit(0)), F.lit(TIME_FORMAT)).alias("timestamp"),

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nametrail.functions.text import computed_once
 from nametrail.sources.addresses import first_ip
 
 # What a file means that does not say otherwise.
@@ -85,7 +86,7 @@ def _records(rows: DataFrame, cell: Callable[[str], Column], unset: Column,
 
 def _parts(lines: DataFrame) -> DataFrame:
     data = lines.where((F.col("value") != "") & ~F.col("value").startswith("#"))
-    return data.withColumn("parts", F.split("value", "\t"))
+    return data.withColumn("parts", computed_once(F.split("value", "\t")))
 
 
 def parse_zeek_lines(lines: DataFrame, header: ZeekHeader) -> DataFrame:
