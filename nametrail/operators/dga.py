@@ -12,7 +12,7 @@ from nametrail.functions.text import (
     shannon_entropy,
 )
 from nametrail.operators.alerts import percent, to_alerts
-from nametrail.operators.rollup import after_grouping, pair_rollup, with_hosts
+from nametrail.operators.rollup import after_grouping, domain_totals, with_hosts
 
 # Feature weights, the entropy ceiling log2(36), hyphen discount.
 ENTROPY_WEIGHT, RARE_WEIGHT, DIGIT_WEIGHT = 0.45, 0.40, 0.15
@@ -23,13 +23,10 @@ HYPHEN_FACTOR = 0.7
 def dga_features(events: DataFrame, min_label_len: int = 6, *, pairs: DataFrame | None = None,
                  bigrams=None) -> DataFrame:
     """Label metrics and raw score of every domain with a long enough label."""
-    pairs = pair_rollup(events) if pairs is None else pairs
     domains = (
-        pairs.where(F.length(second_level_label("registrable_domain")) >= min_label_len)
-        .groupBy("registrable_domain")
-        .agg(F.sum("n").alias("n_queries"), F.max("last_seen").alias("last_seen"),
-             F.sum("n_nx").alias("_n_nx"))
-        .withColumn("nxdomain_ratio", F.col("_n_nx") / F.col("n_queries"))
+        domain_totals(events, pairs)
+        .where(F.length(second_level_label("registrable_domain")) >= min_label_len)
+        .withColumn("nxdomain_ratio", F.col("n_nx") / F.col("n_queries"))
         .withColumn("label", second_level_label("registrable_domain"))
     )
     score = 100 * (
@@ -48,11 +45,10 @@ def dga_features(events: DataFrame, min_label_len: int = 6, *, pairs: DataFrame
 def detect_dga(events: DataFrame, min_label_len: int = 6, score_threshold: float = 45.0, *,
                max_hosts: int = MAX_HOSTS_PER_ALERT, pairs: DataFrame | None = None,
                bigrams=None) -> DataFrame:
-    pairs = pair_rollup(events) if pairs is None else pairs
     flagged = dga_features(events, min_label_len, pairs=pairs, bigrams=bigrams).where(
         F.col("score") >= score_threshold)
     return to_alerts(
-        with_hosts(flagged, pairs, max_hosts), "dga",
+        with_hosts(flagged, events, pairs, max_hosts), "dga",
         domain=F.col("registrable_domain"), src_ip=F.col("hosts"), mitre_id="T1568.002",
         reason=F.format_string(
             "The label '%s' reads like generated text: %.2f bits of entropy per character, "

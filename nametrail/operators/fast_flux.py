@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from nametrail.constants import MAX_HOSTS_PER_ALERT
 from nametrail.functions.scoring import capped
 from nametrail.operators.alerts import to_alerts
-from nametrail.operators.rollup import pair_rollup, resolved, with_hosts
+from nametrail.operators.rollup import resolved, with_hosts
 
 # Score weights, address-share factor, lifetime scale, address
 # count that counts as full.
@@ -51,11 +51,10 @@ def fast_flux_features(events: DataFrame, min_resolved: int = 8,
 def detect_fast_flux(events: DataFrame, min_resolved: int = 8, min_distinct_ips: int = 4,
                      score_threshold: float = 45.0, *, max_hosts: int = MAX_HOSTS_PER_ALERT,
                      pairs: DataFrame | None = None) -> DataFrame:
-    pairs = pair_rollup(events) if pairs is None else pairs
     flagged = fast_flux_features(events, min_resolved, min_distinct_ips).where(
         F.col("score") >= score_threshold)
     return to_alerts(
-        with_hosts(flagged, pairs.where(F.col("n_resolved") > 0), max_hosts), "fast_flux",
+        with_hosts(flagged, events, pairs, max_hosts, "n_resolved"), "fast_flux",
         domain=F.col("registrable_domain"), src_ip=F.col("hosts"), mitre_id="T1568.001",
         reason=F.format_string(
             "%d lookups of %s returned %d different addresses with an average lifetime of "

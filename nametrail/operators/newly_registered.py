@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from nametrail.constants import MAX_HOSTS_PER_ALERT
 from nametrail.functions.scoring import capped
 from nametrail.operators.alerts import empty_alerts, to_alerts
-from nametrail.operators.rollup import aged, pair_rollup, with_hosts
+from nametrail.operators.rollup import aged, with_hosts
 
 # Score weights and the query count that counts as full.
 FRESH_WEIGHT, VOLUME_WEIGHT = 0.75, 0.25
@@ -44,11 +44,10 @@ def detect_newly_registered_domain(events: DataFrame, max_age_days: float = 7.0,
                                    pairs: DataFrame | None = None) -> DataFrame:
     if "first_registered_days_ago" not in events.columns:
         return empty_alerts(events.sparkSession).drop("alert_id")
-    pairs = pair_rollup(events) if pairs is None else pairs
     flagged = newly_registered_features(events, max_age_days).where(
         (F.col("age_days") <= max_age_days) & (F.col("score") >= score_threshold))
     return to_alerts(
-        with_hosts(flagged, pairs.where(F.col("n_aged") > 0), max_hosts), "newly_registered",
+        with_hosts(flagged, events, pairs, max_hosts, "n_aged"), "newly_registered",
         domain=F.col("registrable_domain"), src_ip=F.col("hosts"), mitre_id="T1583.001",
         reason=F.format_string(
             "%s was registered %.0f day(s) before it was first seen and already has %d "

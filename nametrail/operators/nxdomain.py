@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nametrail.operators.alerts import joined, percent, to_alerts
-from nametrail.operators.rollup import pair_rollup
+from nametrail.operators.rollup import host_totals
 from nametrail.operators.skew import HEAVY_MIN_ROWS, heavy_by_count, sliced
 
 # Score weights, sample names per alert.
@@ -71,12 +71,6 @@ def _failures(events: DataFrame) -> DataFrame:
         "src_ip", "query_name", F.unix_micros("timestamp").alias("us"))
 
 
-def host_failures(pairs: DataFrame) -> DataFrame:
-    """Queries and failures per host, from the rollup."""
-    return pairs.groupBy("src_ip").agg(
-        F.sum("n").alias("host_total"), F.sum("n_nx").alias("total_nxdomain_events"))
-
-
 def host_bursts(events: DataFrame, hosts: DataFrame, window_minutes: float, count_threshold: int,
                 heavy_min_rows: int, slice_us: int) -> DataFrame:
     heavy = heavy_by_count(hosts, ["src_ip"], "total_nxdomain_events", heavy_min_rows)
@@ -104,7 +98,9 @@ def nxdomain_features(events: DataFrame, window_minutes: float = 5.0, count_thre
                       heavy_min_rows: int = HEAVY_MIN_ROWS,
                       slice_us: int = SLICE_US) -> DataFrame:
     """Burst size, window end, sample names, failure ratio and raw score per flagged host."""
-    hosts = host_failures(pair_rollup(events) if pairs is None else pairs)
+    hosts = host_totals(events, pairs).select(
+        "src_ip", F.col("n_queries").alias("host_total"),
+        F.col("n_nx").alias("total_nxdomain_events"))
     bursts = host_bursts(
         events, hosts, window_minutes, count_threshold, heavy_min_rows, slice_us)
     return _scored(bursts, hosts, count_threshold, min_total).join(

@@ -33,6 +33,32 @@ def pair_rollup(events: DataFrame) -> DataFrame:
     )
 
 
+def domain_totals(events: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """``registrable_domain, n_queries, n_nx, last_seen``.
+
+    From the rollup where one is at hand, else straight from the events: the
+    partial aggregation then sends one row per domain and task.
+    """
+    if pairs is None:
+        return events.groupBy("registrable_domain").agg(
+            F.count("*").alias("n_queries"),
+            F.count_if(F.col("response_code") == "NXDOMAIN").alias("n_nx"),
+            F.max("timestamp").alias("last_seen"))
+    return pairs.groupBy("registrable_domain").agg(
+        F.sum("n").alias("n_queries"), F.sum("n_nx").alias("n_nx"),
+        F.max("last_seen").alias("last_seen"))
+
+
+def host_totals(events: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """``src_ip, n_queries, n_nx``, from the rollup or the events."""
+    if pairs is None:
+        return events.groupBy("src_ip").agg(
+            F.count("*").alias("n_queries"),
+            F.count_if(F.col("response_code") == "NXDOMAIN").alias("n_nx"))
+    return pairs.groupBy("src_ip").agg(
+        F.sum("n").alias("n_queries"), F.sum("n_nx").alias("n_nx"))
+
+
 def bounded_hosts(pairs: DataFrame, max_hosts: int = MAX_HOSTS_PER_ALERT) -> DataFrame:
     """``registrable_domain, hosts``: the first ``max_hosts`` hosts in text order.
 
@@ -50,8 +76,16 @@ def bounded_hosts(pairs: DataFrame, max_hosts: int = MAX_HOSTS_PER_ALERT) -> Dat
     )
 
 
-def with_hosts(flagged: DataFrame, pairs: DataFrame, max_hosts: int) -> DataFrame:
-    """Attach host lists to flagged domains (one row per domain on both sides)."""
+def with_hosts(flagged: DataFrame, events: DataFrame, pairs: DataFrame | None, max_hosts: int,
+               among: str | None = None) -> DataFrame:
+    """Attach host lists to flagged domains (one row per domain on both sides).
+
+    ``among`` names the rollup count that must not be zero for a host to be
+    listed.
+    """
+    pairs = pair_rollup(events) if pairs is None else pairs
+    if among is not None:
+        pairs = pairs.where(F.col(among) > 0)
     return flagged.join(bounded_hosts(pairs, max_hosts), "registrable_domain")
 
 

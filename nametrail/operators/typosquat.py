@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nametrail.constants import BRAND_WATCHLIST, MAX_HOSTS_PER_ALERT
 from nametrail.operators.alerts import to_alerts
-from nametrail.operators.rollup import after_grouping, pair_rollup, with_hosts
+from nametrail.operators.rollup import after_grouping, domain_totals, with_hosts
 
 # Score at distance one, loss per further edit, shortest domain.
 NEAREST_SCORE, LOSS_PER_EDIT = 92, 24
@@ -17,14 +17,6 @@ MIN_DOMAIN_LEN = 4
 MAX_INLINE_BRANDS = 500
 
 
-def _domains(pairs: DataFrame) -> DataFrame:
-    return (
-        pairs.where(F.length("registrable_domain") >= MIN_DOMAIN_LEN)
-        .groupBy("registrable_domain")
-        .agg(F.sum("n").alias("n_queries"), F.max("last_seen").alias("last_seen"))
-    )
-
-
 def _nearest_inline(domains: DataFrame, brands: Sequence[str], max_distance: int) -> DataFrame:
     """Nearest brand per domain from a constant list: no join at all.
 
@@ -109,7 +101,8 @@ def typosquat_features(events: DataFrame, max_distance: int = 2, *,
 
     ``brands``: names in tie-break order, or a DataFrame ``brand, pos``.
     """
-    domains = _domains(pair_rollup(events) if pairs is None else pairs)
+    domains = domain_totals(events, pairs).where(
+        F.length("registrable_domain") >= MIN_DOMAIN_LEN)
     if isinstance(brands, DataFrame):
         near = _nearest_by_key(domains, brands.select("brand", "pos"), max_distance)
     elif len(brands) > MAX_INLINE_BRANDS:
@@ -126,10 +119,9 @@ def detect_typosquatting(events: DataFrame, max_distance: int = 2, *,
                          brands: Sequence[str] | DataFrame = BRAND_WATCHLIST,
                          max_hosts: int = MAX_HOSTS_PER_ALERT,
                          pairs: DataFrame | None = None) -> DataFrame:
-    pairs = pair_rollup(events) if pairs is None else pairs
     flagged = typosquat_features(events, max_distance, brands=brands, pairs=pairs)
     return to_alerts(
-        with_hosts(flagged, pairs, max_hosts), "typosquat",
+        with_hosts(flagged, events, pairs, max_hosts), "typosquat",
         domain=F.col("registrable_domain"), src_ip=F.col("hosts"), mitre_id="T1583.001",
         reason=F.format_string(
             "'%s' differs from the watched brand '%s' by %d edit(s), as a look-alike domain would.",
