@@ -1,6 +1,6 @@
 """Domains whose label looks machine generated."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nametrail.constants import MAX_HOSTS_PER_ALERT
@@ -20,26 +20,33 @@ ENTROPY_CEILING = 5.17
 HYPHEN_FACTOR = 0.7
 
 
-def dga_features(events: DataFrame, min_label_len: int = 6, *, pairs: DataFrame | None = None,
-                 bigrams=None) -> DataFrame:
-    """Label metrics and raw score of every domain with a long enough label."""
-    domains = (
-        domain_totals(events, pairs)
-        .where(F.length(second_level_label("registrable_domain")) >= min_label_len)
-        .withColumn("nxdomain_ratio", F.col("n_nx") / F.col("n_queries"))
-        .withColumn("label", second_level_label("registrable_domain"))
-    )
+def score_labels(domains: DataFrame, bigrams=None) -> DataFrame:
+    """Add label metrics and raw score; needs ``registrable_domain, n_queries``."""
     score = 100 * (
         ENTROPY_WEIGHT * capped(F.col("entropy"), ENTROPY_CEILING)
         + RARE_WEIGHT * F.col("rare_ratio") + DIGIT_WEIGHT * F.col("digit_ratio"))
     discount = F.when(F.col("label").contains("-"), HYPHEN_FACTOR).otherwise(1.0)
     return (
-        domains.withColumn("entropy", after_grouping(shannon_entropy("label")))
-        .withColumn("rare_ratio", after_grouping(rare_bigram_ratio("label", bigrams)))
-        .withColumn("digit_ratio", after_grouping(digit_ratio("label")))
-        .select("registrable_domain", "label", "n_queries", "last_seen", "nxdomain_ratio",
-                "entropy", "rare_ratio", "digit_ratio", (score * discount).alias("score"))
-    )
+        domains.withColumn("label", second_level_label("registrable_domain"))
+        .withColumns({
+            "entropy": after_grouping(shannon_entropy("label")),
+            "rare_ratio": after_grouping(rare_bigram_ratio("label", bigrams)),
+            "digit_ratio": after_grouping(digit_ratio("label"))})
+        .withColumn("score", score * discount))
+
+
+def long_label(min_label_len: int) -> Column:
+    return F.length(second_level_label("registrable_domain")) >= min_label_len
+
+
+def dga_features(events: DataFrame, min_label_len: int = 6, *, pairs: DataFrame | None = None,
+                 bigrams=None) -> DataFrame:
+    """Label metrics and raw score of every domain with a long enough label."""
+    domains = domain_totals(events, pairs).where(long_label(min_label_len))
+    return score_labels(domains, bigrams).select(
+        "registrable_domain", "label", "n_queries", "last_seen",
+        (F.col("n_nx") / F.col("n_queries")).alias("nxdomain_ratio"),
+        "entropy", "rare_ratio", "digit_ratio", "score")
 
 
 def detect_dga(events: DataFrame, min_label_len: int = 6, score_threshold: float = 45.0, *,

@@ -1,6 +1,6 @@
 """(host, domain) pairs that look like data carried in subdomains."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nametrail.functions.scoring import capped
@@ -15,6 +15,21 @@ CARRIER_TYPES = ["TXT", "NULL"]
 SHORTEST_MINUTES = 1 / 60
 
 
+def tunneling_score() -> Column:
+    return 100 * (
+        LENGTH_WEIGHT * capped(F.col("avg_len"), FULL_LENGTH)
+        + TYPE_WEIGHT * F.col("txt_null_ratio")
+        + RATE_WEIGHT * capped(F.col("rate"), FULL_RATE)
+        + UNIQUE_WEIGHT * F.col("unique_ratio")
+        + ENTROPY_WEIGHT * capped(F.col("avg_entropy"), FULL_ENTROPY))
+
+
+def duration_minutes() -> Column:
+    """Minutes from ``first_seen`` to ``last_seen``, at least one second."""
+    span = (F.unix_micros("last_seen") - F.unix_micros("first_seen")) / 60_000_000
+    return F.greatest(span, F.lit(SHORTEST_MINUTES))
+
+
 def tunneling_features(events: DataFrame, min_queries: int = 20) -> DataFrame:
     """Metrics and raw score of every pair with at least ``min_queries`` queries.
 
@@ -32,13 +47,6 @@ def tunneling_features(events: DataFrame, min_queries: int = 20) -> DataFrame:
         .withColumn("entropy", after_grouping(shannon_entropy("packed"), "c"))
     )
     n = F.col("n_queries")
-    span = (F.unix_micros("last_seen") - F.unix_micros("first_seen")) / 60_000_000
-    score = 100 * (
-        LENGTH_WEIGHT * capped(F.col("avg_len"), FULL_LENGTH)
-        + TYPE_WEIGHT * F.col("txt_null_ratio")
-        + RATE_WEIGHT * capped(F.col("rate"), FULL_RATE)
-        + UNIQUE_WEIGHT * F.col("unique_ratio")
-        + ENTROPY_WEIGHT * capped(F.col("avg_entropy"), FULL_ENTROPY))
     return (
         names.groupBy("src_ip", "registrable_domain")
         .agg(F.sum("c").alias("n_queries"), F.count("*").alias("_names"),
@@ -47,14 +55,15 @@ def tunneling_features(events: DataFrame, min_queries: int = 20) -> DataFrame:
              F.sum(F.col("c") * F.col("entropy")).alias("_bits"),
              F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
         .where(n >= min_queries)
-        .withColumn("duration_min", F.greatest(span, F.lit(SHORTEST_MINUTES)))
+        .withColumn("duration_min", duration_minutes())
         .withColumn("rate", n / F.col("duration_min"))
         .withColumn("avg_len", F.col("_chars") / n)
         .withColumn("txt_null_ratio", F.col("_carriers") / n)
         .withColumn("unique_ratio", F.col("_names") / n)
         .withColumn("avg_entropy", F.col("_bits") / n)
         .select("src_ip", "registrable_domain", "n_queries", "last_seen", "duration_min", "rate",
-                "avg_len", "txt_null_ratio", "unique_ratio", "avg_entropy", score.alias("score"))
+                "avg_len", "txt_null_ratio", "unique_ratio", "avg_entropy",
+                tunneling_score().alias("score"))
     )
 
 

@@ -17,16 +17,16 @@ MIN_DOMAIN_LEN = 4
 MAX_INLINE_BRANDS = 500
 
 
-def _nearest_inline(domains: DataFrame, brands: Sequence[str], max_distance: int) -> DataFrame:
-    """Nearest brand per domain from a constant list: no join at all.
+def nearest_brand(name: Column, brands: Sequence[str], max_distance: int) -> Column:
+    """Struct (edit_distance, pos, matched_brand) of the nearest listed brand.
 
-    The smallest (distance, list position) wins. The bounded edit distance stops
-    early and is not computed when the lengths already differ too much.
+    The smallest (distance, list position) wins; null when no brand is near. The
+    bounded edit distance stops early and is not computed when the lengths
+    already differ too much.
     """
     watched = F.array([
         F.struct(F.lit(i).alias("pos"), F.lit(b).alias("brand"), F.lit(len(b)).alias("len"))
         for i, b in enumerate(brands)])
-    name = F.col("registrable_domain")
 
     def candidate(b: Column) -> Column:
         near = F.abs(F.length(name) - b["len"]) <= max_distance
@@ -34,7 +34,12 @@ def _nearest_inline(domains: DataFrame, brands: Sequence[str], max_distance: int
             F.when(near, F.levenshtein(name, b["brand"], max_distance)).otherwise(-1)
             .alias("edit_distance"), b["pos"].alias("pos"), b["brand"].alias("matched_brand"))
 
-    best = F.array_min(F.filter(F.transform(watched, candidate), lambda c: c["edit_distance"] >= 0))
+    return F.array_min(F.filter(F.transform(watched, candidate), lambda c: c["edit_distance"] >= 0))
+
+
+def _nearest_inline(domains: DataFrame, brands: Sequence[str], max_distance: int) -> DataFrame:
+    """Nearest brand per domain from a constant list: no join at all."""
+    best = nearest_brand(F.col("registrable_domain"), brands, max_distance)
     return (
         domains.withColumn("best", after_grouping(best))
         .where(F.col("best.edit_distance") >= 1)

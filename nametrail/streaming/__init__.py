@@ -1,0 +1,17 @@
+"""Streaming forms of the sources, features and detectors."""
+
+from nametrail.streaming.live import (
+    detect_on_batches,
+    flag_events,
+    nxdomain_windows,
+    stream_log,
+    traffic_counts,
+    tunneling_sessions,
+    without_duplicates,
+)
+from nametrail.streaming.stateful import beacon_state, burst_state
+
+__all__ = [
+    "beacon_state", "burst_state", "detect_on_batches", "flag_events", "nxdomain_windows",
+    "stream_log", "traffic_counts", "tunneling_sessions", "without_duplicates",
+]
