@@ -412,7 +412,7 @@ SELECTS = {
         where severity_label = 'Critical' order by alert_no limit 3"""),
     "domain_detail": ("tfa", """
         select count(*) as total_queries, count(distinct src_ip) as unique_hosts,
-          round(avg(case when response_code = 'NXDOMAIN' then 1.0 else 0.0 end), 6)
+          coalesce(round(avg(case when response_code = 'NXDOMAIN' then 1.0 else 0.0 end), 6), 0)
             as nxdomain_rate,
           (select count(distinct detector) from per_name where domain = '{domain}') as n_detectors
         from ev where registrable_domain = '{domain}'"""),

@@ -5,7 +5,7 @@ from compare import differences, duck, oracle_rows
 
 import __spark_entry__ as entry
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")

@@ -152,6 +152,14 @@ def test_csv_errors(spark, tmp_path):
         load_log(spark, put(tmp_path, "x.csv", CSV), "xml")
 
 
+def test_csv_directory_with_another_column_order_is_refused(spark, tmp_path):
+    put(tmp_path, "a.csv", CSV)
+    swapped = "\n".join(",".join(line.split(",")[::-1]) for line in CSV.splitlines()[:2])
+    put(tmp_path, "b.csv", swapped + "\n")
+    with pytest.raises(Exception, match="CSV header"):
+        load_log(spark, str(tmp_path), "csv").count()
+
+
 def test_empty_input(spark, tmp_path):
     assert empty_events(spark).schema == EVENT_SCHEMA
     path = put(tmp_path, "empty.csv", CSV.splitlines()[0] + "\n")
