@@ -7,6 +7,8 @@ with parameters that give alerts on that view.
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -439,13 +441,25 @@ def entry(spark: SparkSession) -> DataFrame:
     return alerts_union(spark, "/root/testdata/sf0.001")
 
 
+def _training_data():
+    """The training-data operators' queries, if that part of the package is there."""
+    try:
+        found = importlib.util.find_spec("nametrail.llm.queries")
+    except ModuleNotFoundError:
+        found = None
+    return importlib.import_module("nametrail.llm.queries") if found else None
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in QUERIES}
+    more = _training_data()
+    return {q.__name__: q for q in QUERIES} | (more.QUERIES if more else {})
 
 
 def oracle_sql() -> dict[str, str]:
     from duckdb_oracles import build
 
+    more = _training_data()
     return build(
         words=VOCABULARY, suffixes=MULTI_PART_TLDS, brands=BRANDS, providers=PROVIDERS,
-        dga_score=DGA_SCORE, tunnel=TUNNEL, beacon=BEACON, burst=BURST, host=HOST, domain=DOMAIN)
+        dga_score=DGA_SCORE, tunnel=TUNNEL, beacon=BEACON, burst=BURST, host=HOST, domain=DOMAIN,
+    ) | (more.SQL if more else {})
