@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nametrail.llm.common import Tables
+from nametrail.llm.mixing import balance_sources
+from nametrail.llm.token_files import read_token_files, write_token_files
 from nametrail.llm.token_prefix import prefix_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +27,22 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("n_tokens") > CONTEXT_TOKENS).alias("over_limit"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_token_files(_table(spark, sf_dir, "documents"), Tables(spark),
+                              "byte_bpe_50k.json", end_id=2)
+    return read_token_files(files).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = balance_sources(_table(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0),
+                            share=1.5, max_copies=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Query] = {
     "op4_token_counts": op4_token_counts,
+    "op5_token_files": op5_token_files,
+    "op10_source_mix": op10_source_mix,
 }
 SQL: dict[str, str] = {}
