@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nametrail.llm.common import Tables
+from nametrail.llm.lines import drop_common_lines
 from nametrail.llm.mixing import balance_sources
+from nametrail.llm.secrets import BASE_RULES, find_secrets
 from nametrail.llm.token_files import read_token_files, write_token_files
 from nametrail.llm.token_prefix import prefix_token_counts
 
@@ -34,6 +36,28 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_common_lines(_table(spark, sf_dir, "documents"), least_chars=40, least_docs=5)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(_table(spark, sf_dir, "documents"))
+    base = [rule.kind for rule in BASE_RULES]
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    return found.select(
+        "doc_id", *(number(kind).alias(f"n_{kind}") for kind in base),
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = balance_sources(_table(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0),
                             share=1.5, max_copies=2.0)
@@ -43,6 +67,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
+    "op7_line_dedup": op7_line_dedup,
+    "op9_secrets": op9_secrets,
     "op10_source_mix": op10_source_mix,
 }
 SQL: dict[str, str] = {}
