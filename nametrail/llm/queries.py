@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nametrail.llm.common import Tables
+from nametrail.llm.decontaminate import benchmark_overlaps
 from nametrail.llm.lines import drop_common_lines
 from nametrail.llm.mixing import balance_sources
 from nametrail.llm.secrets import BASE_RULES, find_secrets
@@ -41,6 +42,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(_table(spark, sf_dir, "documents"))
     base = [rule.kind for rule in BASE_RULES]
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
     "op7_line_dedup": op7_line_dedup,
+    "op8_decontaminate": op8_decontaminate,
     "op9_secrets": op9_secrets,
     "op10_source_mix": op10_source_mix,
 }
