@@ -133,19 +133,25 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     return _powers(1 << max(20, int(n).bit_length()), inverse)[:n]
 
 
-def _byte_tables(lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def _byte_tables(lower: bool, plain: bool) -> tuple[np.ndarray, np.ndarray]:
     values, gap = mix64(np.arange(256, dtype=np.uint64) + np.uint64(12345)), np.zeros(256, bool)
     gap[list(SPACES)] = True
+    if plain:
+        gap[[b for b in range(128) if not chr(b).isalnum()]] = True
     if lower:
         values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
     return values, gap
 
 
-_TABLES = {lower: _byte_tables(lower) for lower in (False, True)}
+_TABLES = {(lower, plain): _byte_tables(lower, plain)
+           for lower in (False, True) for plain in (False, True)}
 
 
-def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each word `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased if asked, and where each text's words begin.
+def word_hashes(texts: pa.Array, lower: bool = True, plain: bool = False
+                ) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each word `[^\\x20\\x09-\\x0D]+`, and where each text's words begin.
+
+    `lower` lower-cases A-Z; with `plain`, ASCII marks separate words as well.
 
     The hash is a polynomial in a fixed base over per-byte random numbers, so that one
     running sum over the bytes serves all words.
@@ -154,7 +160,7 @@ def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    values, gap = _TABLES[lower]
+    values, gap = _TABLES[lower, plain]
     solid = ~gap[raw]
     begins, ends = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nametrail.llm.common import Tables
 from nametrail.llm.decontaminate import benchmark_overlaps
 from nametrail.llm.lines import drop_common_lines
 from nametrail.llm.mixing import balance_sources
+from nametrail.llm.near_dup import near_duplicates
+from nametrail.llm.quality import fit_grades, grade_documents
 from nametrail.llm.secrets import BASE_RULES, find_secrets
 from nametrail.llm.token_files import read_token_files, write_token_files
 from nametrail.llm.token_prefix import prefix_token_counts
@@ -18,12 +20,19 @@ from nametrail.llm.token_prefix import prefix_token_counts
 Query = Callable[[SparkSession, str], DataFrame]
 
 CONTEXT_TOKENS = 4096
+#: Least probability of the highest grade of documents that stay.
+KEEP_TAIL = 0.5
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = prefix_token_counts(_table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
     return counts.select("doc_id", "n_bytes", "n_tokens",
@@ -37,6 +46,24 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def rated_grade() -> Column:
+    """0 for toxic documents, 1 for others of low quality, 2 for good ones."""
+    return (F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1)
+            .when((F.col("toxic") == 0) & (F.col("quality") == 1), 2))
+
+
+def graded(docs: DataFrame, ratings: DataFrame) -> DataFrame:
+    """doc_id, expected_grade, tail and `keep`: the highest grade is at least as likely as not."""
+    model = fit_grades(docs, ratings, rated_grade(), n_grades=3)
+    return grade_documents(docs, model).withColumn(
+        "keep", F.coalesce(F.col("tail") >= KEEP_TAIL, F.lit(True)))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graded(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select(
+        "doc_id", "expected_grade", "tail", "keep")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_common_lines(_table(spark, sf_dir, "documents"), least_chars=40, least_docs=5)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -70,8 +97,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_near_dup": op3_near_dup,
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
+    "op6_quality": op6_quality,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_secrets": op9_secrets,
