@@ -68,12 +68,22 @@ class Tables:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of ids that are broadcast at most (a few tens of bytes each).
+BROADCAST_ROWS = 2_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A saved table of ids, marked for broadcast if a count shows it is small enough;
+    else joins with it shuffle both sides."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def word_count(text: Column) -> Column:
     """Number of `[^\\x20\\x09-\\x0D]+`; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text",
+def chunks(batches: Iterator[pa.RecordBatch], column: str | int = "text",
            limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in order, in slices of about `limit` bytes of text."""
     for batch in batches:

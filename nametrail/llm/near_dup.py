@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nametrail.llm.common import Tables, chunks, mix64, seeds, ship, word_hashes
+from nametrail.llm.common import Tables, chunks, mix64, seeds, ship, small, word_hashes
 from nametrail.llm.components import components
 
 SHINGLE = 5
@@ -35,8 +35,6 @@ ROWS = 4
 #: Documents of a group in one block: where sketches meet, and where sets do.
 SKETCH_BLOCK = 2048
 SET_BLOCK = 512
-#: Ids of documents whose sets are compared that are broadcast at most (8 bytes each).
-BROADCAST_IDS = 4_000_000
 #: Sketches may fall short of the similarity by this many standard deviations.
 SLACK = 4.0
 _HASHES = 2 * TABLES * ROWS
@@ -243,7 +241,7 @@ def _links(percent: int):
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, shingles) of the documents named in `ids` (rep), whose count is looked at first."""
+    """(rep, shingles) of the documents named in the saved table `ids` (rep)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
@@ -255,8 +253,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                          pa.binary()),
             ], names=["rep", "shingles"])
 
-    named = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    chosen = docs.join(named, docs["doc_id"] == ids["rep"], "left_semi")
+    chosen = docs.join(small(ids), docs["doc_id"] == ids["rep"], "left_semi")
     return chosen.mapInArrow(run, "rep bigint, shingles binary").dropDuplicates(["rep"])
 
 
@@ -290,7 +287,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text",
         _dealt(first.join(signs, "rep"), SKETCH_BLOCK).groupBy("i", "key", "x", "y")
         .applyInArrow(_keep_similar(percent / 100), "rep bigint, i int, key bigint").distinct())
     sizes = similar.groupBy("i", "key").agg(F.count("*").alias("n"))
-    compared = tables.save(_sets_of(chosen, similar.select("rep").distinct()))
+    compared = tables.save(_sets_of(chosen, tables.save(similar.select("rep").distinct())))
     links = tables.save(
         _dealt(similar.join(sizes, ["i", "key"]).join(signs, "rep").join(compared, "rep"), SET_BLOCK)
         .groupBy("i", "key", "x", "y").applyInArrow(_links(percent), "u bigint, v bigint"))

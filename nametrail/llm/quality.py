@@ -251,3 +251,24 @@ def grade_documents(docs: DataFrame, model: CumulativeLink | None, text: str = "
                  pa.array(tails[:, -1])], names=["doc_id", "score", "expected_grade", "tail"])
 
     return chosen.mapInArrow(run, "doc_id bigint, score double, expected_grade double, tail double")
+
+
+def keep_graded(docs: DataFrame, model: CumulativeLink | None, least_tail: float,
+                text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose highest grade has at least this probability.
+
+    Every row is judged by its own text, whatever its id; without a model all stay.
+    """
+    if model is None:
+        return docs
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = shared.value
+        for part in chunks(batches, place):
+            tail = made.tails(made.scores(part.column(place)))[:, -1]
+            yield part.filter(pa.array(tail >= least_tail))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nametrail.llm.common import Tables
+from corpus_pipeline import KEEP_TAIL, ORACLE_SQL, rated_grade, run
 from nametrail.llm.decontaminate import benchmark_overlaps
 from nametrail.llm.lines import drop_common_lines
 from nametrail.llm.mixing import balance_sources
@@ -20,8 +21,6 @@ from nametrail.llm.token_prefix import prefix_token_counts
 Query = Callable[[SparkSession, str], DataFrame]
 
 CONTEXT_TOKENS = 4096
-#: Least probability of the highest grade of documents that stay.
-KEEP_TAIL = 0.5
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,12 +45,6 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-def rated_grade() -> Column:
-    """0 for toxic documents, 1 for others of low quality, 2 for good ones."""
-    return (F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1)
-            .when((F.col("toxic") == 0) & (F.col("quality") == 1), 2))
-
-
 def graded(docs: DataFrame, ratings: DataFrame) -> DataFrame:
     """doc_id, expected_grade, tail and `keep`: the highest grade is at least as likely as not."""
     model = fit_grades(docs, ratings, rated_grade(), n_grades=3)
@@ -96,6 +89,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op3_near_dup": op3_near_dup,
     "op4_token_counts": op4_token_counts,
@@ -105,5 +102,6 @@ QUERIES: dict[str, Query] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_secrets": op9_secrets,
     "op10_source_mix": op10_source_mix,
+    "pipeline": pipeline,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
