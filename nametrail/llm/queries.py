@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nametrail.llm.common import Tables
 from corpus_pipeline import KEEP_TAIL, ORACLE_SQL, rated_grade, run
+from nametrail.llm.ann import nearest
 from nametrail.llm.decontaminate import benchmark_overlaps
 from nametrail.llm.lines import drop_common_lines
 from nametrail.llm.mixing import balance_sources
@@ -27,6 +28,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), every=50, count=5)
+
+
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85).select(
         "doc_id", "n_shingles", "component_id", "kept")
@@ -94,6 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_nearest": op1_nearest,
     "op3_near_dup": op3_near_dup,
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
