@@ -15,6 +15,7 @@ from nametrail.llm.lines import drop_common_lines
 from nametrail.llm.mixing import balance_sources
 from nametrail.llm.near_dup import near_duplicates
 from nametrail.llm.quality import fit_grades, grade_documents
+from nametrail.llm.revisits import resolve_revisits
 from nametrail.llm.secrets import BASE_RULES, find_secrets
 from nametrail.llm.token_files import read_token_files, write_token_files
 from nametrail.llm.token_prefix import prefix_token_counts
@@ -32,6 +33,83 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), every=50, count=5)
 
 
+def page_captures(pages: DataFrame) -> DataFrame:
+    """Two WARC records for each page: the response, and a later revisit of a like URL whose
+    validators mostly agree. All is derived from the page's id, URL and text."""
+    page = F.col("page_id")
+    tag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit('"'))
+    time = 1_700_000_000 + (page * 7919) % 1_000_003
+    response = pages.select(
+        (2 * page).alias("record_id"), "url", time.alias("ts"), F.lit("response").alias("kind"),
+        F.create_map(
+            F.lit("Content-Type"), F.lit("text/html"), F.lit("Server"), F.lit("a"),
+            F.lit("Content-Length"), F.length("html").cast("string"), F.lit("ETag"), tag,
+            F.lit("Last-Modified"), (time - 1000).cast("string"),
+            F.lit("Cache-Control"), F.lit("max-age=60")).alias("headers"))
+    shown = F.when(page % 7 == 0, F.lit(None)).when(page % 5 == 0, F.lit('"stale"')).otherwise(
+        F.concat(F.lit("W/"), tag))
+    later = time + (page * 31) % 90_001 - 1000
+    revisit = pages.select(
+        (2 * page + 1).alias("record_id"), F.concat("url", F.lit("#again")).alias("url"),
+        later.alias("ts"), F.lit("revisit").alias("kind"),
+        F.map_filter(F.create_map(
+            F.lit("Date"), later.cast("string"), F.lit("etag"), shown,
+            F.lit("Last-Modified"), (time - F.when(page % 11 == 0, 7).otherwise(1000)).cast("string"),
+            F.lit("Cache-Control"), F.concat(F.lit("max-age="), (page % 100).cast("string")),
+            F.lit("Content-Length"), F.lit("0")), lambda k, v: v.isNotNull()).alias("headers"))
+    return response.unionByName(revisit)
+
+
+def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = resolve_revisits(page_captures(_table(spark, sf_dir, "pages")))
+    lines = F.transform("headers", lambda h: F.concat_ws(": ", h["name"], h["value"]))
+    return resolved.select("record_id", "target", "response_id", "verdict",
+                           F.array_join(lines, "|").alias("headers"))
+
+
+OP2_SQL = r"""
+with pages_ as (
+  select page_id, '"' || substr(md5(html), 1, 16) || '"' as tag, length(html) as size,
+    1700000000 + (page_id * 7919) % 1000003 as ts,
+    regexp_replace(trim(url), '#.*$', '') as plain
+  from pages),
+parts as (
+  select *, lower(regexp_extract(plain, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)) as host,
+    regexp_replace(regexp_replace(plain, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', ''),
+      '([?&])(utm_[A-Za-z0-9_]*|ref|fbclid|gclid)=[^&]*', '\1', 'g') as rest
+  from pages_),
+known as (
+  select *, regexp_replace(host, ':(80|443)$', '') || regexp_replace(
+    regexp_replace(regexp_replace(rest, '([?&])&+', '\1', 'g'), '[?&]+$', ''),
+    '/+($|[?])', '\1', 'g') as target
+  from parts),
+responses as (select 2 * page_id as response_id, target, ts, tag, size,
+  ts * 100000000 + 2 * page_id as place from known),
+revisits as (select 2 * page_id + 1 as record_id, target, page_id,
+  ts + (page_id * 31) % 90001 - 1000 as later,
+  (ts + (page_id * 31) % 90001 - 1000) * 100000000 + 2 * page_id + 1 as place,
+  case when page_id % 7 = 0 then null when page_id % 5 = 0 then '"stale"' else tag end as shown,
+  ts - (case when page_id % 11 = 0 then 7 else 1000 end) as changed from known),
+joined as (
+  select v.*, r.response_id, r.size, r.tag as old_tag, r.ts - 1000 as old_changed,
+    case when r.response_id is null then 'missing'
+      when coalesce(v.shown = r.tag, v.changed = r.ts - 1000) then 'matched' else 'mismatched' end as verdict
+  from revisits v asof left join responses r on v.target = r.target and v.place > r.place)
+select record_id, target, response_id, verdict,
+  case when verdict = 'matched' then
+    'cache-control: max-age=' || (page_id % 100) || '|content-length: ' || size
+    || '|content-type: text/html|date: ' || later || '|etag: '
+    || coalesce(case when shown = '"stale"' then shown else 'W/' || shown end, old_tag)
+    || '|last-modified: ' || old_changed || '|server: a'
+  else
+    'cache-control: max-age=' || (page_id % 100) || '|content-length: 0|date: ' || later
+    || coalesce('|etag: ' || case when shown = '"stale"' then shown else 'W/' || shown end, '')
+    || '|last-modified: ' || changed
+  end as headers
+from joined
+"""
+
+
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85).select(
         "doc_id", "n_shingles", "component_id", "kept")
@@ -100,6 +178,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_nearest": op1_nearest,
+    "op2_revisits": op2_revisits,
     "op3_near_dup": op3_near_dup,
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
@@ -110,4 +189,4 @@ QUERIES: dict[str, Query] = {
     "op10_source_mix": op10_source_mix,
     "pipeline": pipeline,
 }
-SQL: dict[str, str] = {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
+SQL: dict[str, str] = {"op2_revisits": OP2_SQL} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
