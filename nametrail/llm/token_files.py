@@ -20,6 +20,7 @@ operations.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,23 +45,26 @@ _MARKS = ".,:;!?"
 _U = np.uint64
 
 
+_WIDTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
 def _best_selectors(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each position the selector of a word that begins there and stays before `ends`."""
     n = len(ids)
-    # Bits of each id; rounding may add one above 2^53, which is still a right choice.
-    widths = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
-    room = ends - np.arange(n)
-    best = np.full(n, ESCAPE, np.uint8)
-    # Widest id among the next `span` ones, for growing spans.
-    most, span = widths.copy(), 1
-    for selector in range(len(COUNTS) - 1, -1, -1):
+    if n and int(ids.max()) < len(_WIDTHS):
+        most = _WIDTHS[ids]
+    else:  # rounding may add a bit above 2^53, which is still a right choice
+        most = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+    room = np.minimum(ends - np.arange(n), COUNTS[0]).astype(np.uint8)
+    best, span = np.full(n, ESCAPE, np.uint8), 1
+    for selector in range(len(COUNTS) - 1, -1, -1):  # `most`: the widest of the next `span` ids
         count = int(COUNTS[selector])
         while span < count:
             step = min(span, count - span)
             if step < n:
                 most[: n - step] = np.maximum(most[: n - step], most[step:])
             span += step
-        best[(most <= BITS[selector]) & (room >= count)] = selector
+        np.copyto(best, np.uint8(selector), where=(most <= BITS[selector]) & (room >= count))
     return best
 
 
@@ -83,17 +87,13 @@ def pack_many(ids: np.ndarray, starts: np.ndarray, block: int = BLOCK_IDS
     end = np.minimum(begin + block, starts[owner + 1])
     best = _best_selectors(ids, np.repeat(end, end - begin))
     taken = np.concatenate([COUNTS, [0, 1]])[best]
-    live, at, placed, blocks = np.arange(len(begin)), begin.copy(), [], []
+    live, at, marks = np.arange(len(begin)), begin.copy(), np.zeros(len(ids), bool)
     while len(live):
         here = at[live]
-        placed.append(here)
-        blocks.append(live)
+        marks[here] = True
         at[live] = here + taken[here]
         live = live[at[live] < end[live]]
-    position = np.concatenate(placed) if placed else np.zeros(0, np.int64)
-    of_block = np.concatenate(blocks) if blocks else np.zeros(0, np.int64)
-    order = np.argsort(position, kind="stable")
-    position, of_block = position[order], of_block[order]
+    position = np.flatnonzero(marks)
     selector = best[position].astype(np.int64)
     sizes = 1 + (selector == ESCAPE)
     place = np.concatenate([[0], np.cumsum(sizes)])
@@ -109,8 +109,7 @@ def pack_many(ids: np.ndarray, starts: np.ndarray, block: int = BLOCK_IDS
         for i in range(COUNTS[s]):
             word |= ids[position[rows] + i] << _U(i * BITS[s])
         words[place[rows]] = word
-    per_block = np.bincount(of_block, weights=sizes, minlength=len(begin)).astype(np.int64)
-    return words, np.concatenate([[0], np.cumsum(per_block)]), first_block
+    return words, place[np.searchsorted(position, np.append(begin, len(ids)))], first_block
 
 
 def unpack(words: np.ndarray) -> np.ndarray:
@@ -144,8 +143,8 @@ class WordEncoder:
 
     A single space between two characters that are no white space always begins a
     pre-token, and a single line end between two such is one by itself. So the ids of a text
-    are those of its words (with the space before), one after another. A text with any other
-    white space around spaces or line ends goes to the library whole.
+    are those of its words, one after another, each with the space or line end before it. A
+    text with any other white space goes to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -157,52 +156,45 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         plan = self.library.pre_tokenizer
         self.by_words = type(plan).__name__ == "ByteLevel" and self.library.normalizer is None
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.line_end = self._encode(["\n"])[0]
+        #: Ids of words behind a space, and of words with the line end before them.
+        self.known: dict[str, bytes] = {}
+        self.head = len(self._encode(["\n"])[0])
         self.marks = dict(zip(_MARKS, self._encode(list(_MARKS))))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         done = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in done]
-
-    def _words(self, words: list[str], before: str) -> list[bytes]:
-        """Ids of each word; letters and a mark behind them are two pre-tokens."""
-        plain = {w[:-1] if w[-1] in _MARKS and w[:-1].isalpha() else w: b"" for w in words}
-        for word, ids in zip(plain, self._encode([before + w for w in plain])):
-            plain[word] = ids
-        return [plain[w] if w in plain else plain[w[:-1]] + self.marks[w[-1]] for w in words]
-
-    def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> dict[str, bytes]:
-        """What is known, with these words; long ones are not kept for later."""
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(words)
-        ids = dict(zip(new, self._words(new, before)))
-        long = {w: ids.pop(w) for w in new if len(w) > CACHE_CHARS}
-        known.update(ids)
-        return known | long if long else known
+        return [array("I", x.ids).tobytes() for x in done]
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of all new words; letters and a mark behind them are two pre-tokens."""
+        known = self.known
+        bases = {w: w[:-1] for w in words if w[-1] in _MARKS and w[:-1].isalpha()}
+        plain = [w for w in {bases.get(w, w) for w in words} if w not in known]
+        new = dict(zip(plain, self._encode([w if w[0] == "\n" else " " + w for w in plain])))
+        for word, base in bases.items():
+            new[word] = (new[base] if base in new else known[base]) + self.marks[word[-1]]
+        return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes | None] = [b"" if not t else None for t in texts]
-        split: dict[int, list[list[str]]] = {}
-        firsts: set[str] = set()
-        laters: set[str] = set()
+        out: list[bytes | None] = [None] * len(texts)
+        split: list[tuple[int, list[str]]] = []
+        missing: set[str] = set()
+        known = self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
         for i, text in enumerate(texts):
-            if not text or not self.by_words:
-                continue
-            lines = [line.split(" ") for line in text.split("\n")]
-            if all(w and w.strip() == w for line in lines for w in line):
-                split[i] = lines
-                firsts.update(line[0] for line in lines)
-                for line in lines:
-                    laters.update(line[1:])
-        first, later = self._learn(self.first, firsts, ""), self._learn(self.later, laters, " ")
-        for i, lines in split.items():
-            out[i] = self.line_end.join(
-                [first[line[0]] + b"".join([later[w] for w in line[1:]]) for line in lines])
+            if self.by_words and " ".join(text.split()) == text.replace("\n", " ") and text:
+                words = f"\n{text}".replace("\n", " \n").split(" ")[1:]
+                split.append((i, words))
+                missing |= set(words).difference(known)
+        new = self._learn(missing) if missing else {}
+        known.update(new)
+        for i, words in split:
+            out[i] = b"".join([known[w] for w in words])[self.head :]
+        for word in new:
+            if len(word) > CACHE_CHARS:
+                del known[word]
         whole = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
             out[i] = ids
@@ -277,7 +269,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
         Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = files.groupBy("part").agg(F.sum("n_tokens").alias("ids_in_part")).select(
         F.col("part").alias("_part"), before.alias("base"))
-    placed = files.join(bases, F.col("part") == F.col("_part")).select(
+    placed = files.join(F.broadcast(bases), F.col("part") == F.col("_part")).select(
         "doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "words")
     return placed.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
