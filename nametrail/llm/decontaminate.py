@@ -102,19 +102,17 @@ class Block:
 
 
 def longest_overlap(same: np.ndarray, min_same: float) -> tuple[int, int]:
-    """(start, end) of the longest stretch of which at least `min_same` is true."""
+    """(start, end) of the longest stretch that begins and ends with equal words and of which
+    at least `min_same` are equal; the first of equals, (0, 0) if there is none."""
     if not same.any():
         return 0, 0
     sums = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - min_same, -min_same))])
-    later = np.maximum.accumulate(sums[::-1])[::-1]  # the highest sum from here on, falling
-    ends = len(later) - np.searchsorted(later[::-1], sums - 1e-9, "left") - 1
-    best = int(np.argmax(ends - np.arange(len(sums))))
-    start, end = best, int(ends[best])
-    while start < end and not same[start]:
-        start += 1
-    while end > start and not same[end - 1]:
-        end -= 1
-    return start, end
+    at_end = np.where(np.concatenate([[False], same]), sums, -np.inf)
+    later = np.maximum.accumulate(at_end[::-1])  # the highest from an end on, from the last one back
+    starts = np.flatnonzero(same)
+    ends = len(same) - np.searchsorted(later, sums[starts] - 1e-9, "left")
+    best = int(np.argmax(ends - starts))
+    return int(starts[best]), int(ends[best])
 
 
 _ROW = ("doc_id bigint, item_id bigint, doc_start bigint, item_start bigint, n_words bigint, "
@@ -125,15 +123,15 @@ def _overlaps(block: Block, words: np.ndarray, at: np.ndarray, masks: Sequence[s
               min_words: int, min_same: float) -> dict[tuple[int, int], tuple[int, int, int, int]]:
     """The longest proved overlap of each (text, item): (words, -start, item start, same)."""
     best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-    seen: set[tuple[int, int]] = set()
+    seen: set[tuple[int, int, int]] = set()
     for here, there in block.meetings(words, at, masks):
         text = np.searchsorted(at, here, "right") - 1
         item = np.searchsorted(block.at, there, "right") - 1
         pairs = np.unique(np.column_stack([text, item, here - there]), axis=0)
         for t, i, shift in pairs.tolist():
-            if (shift, i) in seen:
+            if (t, i, shift) in seen:
                 continue
-            seen.add((shift, i))
+            seen.add((t, i, shift))
             low = max(int(at[t]), int(block.at[i]) + shift)
             high = min(int(at[t + 1]), int(block.at[i + 1]) + shift)
             same = words[low:high] == block.words[low - shift : high - shift]
