@@ -13,7 +13,7 @@ import sys
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -320,6 +320,96 @@ def false_positive_hosts(spark, sf_dir):
     return evaluation.false_positive_hosts(dns_events(spark, sf_dir), alert_table(spark, sf_dir))
 
 
+def all_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every host of every alert, by the rollup of the log."""
+    return risk.alert_hosts(alert_table(spark, sf_dir), dns_events(spark, sf_dir))
+
+
+def alert_hosts(spark, sf_dir):
+    return all_hosts(spark, sf_dir).select("alert_id", "src_ip")
+
+
+def host_risk_all_hosts(spark, sf_dir):
+    return risk.compute_host_risk(alert_table(spark, sf_dir), all_hosts(spark, sf_dir)).select(
+        "src_ip", "risk_score", "risk_label", _long("n_alerts"), _long("n_detectors"),
+        "detectors", "top_detector")
+
+
+def tactic_summary_all_hosts(spark, sf_dir):
+    return risk.all_host_tactics(alert_table(spark, sf_dir), all_hosts(spark, sf_dir)).select(
+        "src_ip", "tactic", _long("n_alerts"), "max_severity", "detectors")
+
+
+def host_tactics_all_hosts(spark, sf_dir):
+    return risk.host_tactic_summary(
+        alert_table(spark, sf_dir), HOST, all_hosts(spark, sf_dir)).select(
+        "tactic", _long("n_alerts"), "max_severity", "detectors")
+
+
+def timeline_all_hosts(spark, sf_dir):
+    return risk.host_alert_timeline(
+        alert_table(spark, sf_dir), HOST, all_hosts(spark, sf_dir)).select(
+        _us("timestamp").alias("us"), "detector", "severity_score", "severity_label", "src_ip",
+        "domain", "mitre_id")
+
+
+def kill_chain_all_hosts(spark, sf_dir):
+    return risk.kill_chain(alert_table(spark, sf_dir), hosts=all_hosts(spark, sf_dir)).select(
+        "src_ip", _long("position"), "tactic", "max_severity", "severity_label")
+
+
+def recall_all_hosts(spark, sf_dir):
+    return evaluation.recall_by_scenario(
+        dns_events(spark, sf_dir), alert_table(spark, sf_dir), all_hosts(spark, sf_dir)).select(
+        "scenario", "detector", "unit", _long("ground_truth_total"), _long("caught"), "recall")
+
+
+def false_positives_all_hosts(spark, sf_dir):
+    return evaluation.false_positive_summary(
+        dns_events(spark, sf_dir), alert_table(spark, sf_dir), all_hosts(spark, sf_dir)).select(
+        _long("benign_hosts_total"), _long("false_positive_hosts"), "false_positive_rate")
+
+
+def typosquat_cut_brands(spark, sf_dir):
+    """Every domain without its first character as a brand, ties by the brand's text."""
+    events = dns_events(spark, sf_dir)
+    brands = events.select(F.expr("substring(registrable_domain, 2)").alias("brand")).distinct()
+    near = ops.typosquat_features(events, brands=brands.withColumn("pos", F.col("brand")))
+    return _typosquat(near)
+
+
+def timestamp_layouts(spark, sf_dir):
+    """The events' times as text in six layouts and zones, one of them unreadable, and back."""
+    local = F.col("timestamp").cast("timestamp_ntz")
+    n = F.col("user_id") % 6
+    raw = _raw(spark, sf_dir).withColumn("user_id", F.expr(
+        "cast(split(src_ip, '[.]')[2] as bigint) * 256 + cast(split(src_ip, '[.]')[3] as bigint)"))
+    text = (
+        F.when(n == 0, F.date_format(local, "MM/dd/yyyy HH:mm:ss"))
+        .when(n == 1, F.date_format(local, "yyyy/MM/dd HH:mm:ss"))
+        .when(n == 2, F.date_format(local, "yyyyMMdd HH:mm:ss"))
+        .when(n == 3, F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
+        .when(n == 4, F.date_format(local, "yyyy-MM-dd HH:mm:ss"))
+        .otherwise(F.lit("no time")))
+    return normalize_events(raw.withColumn("timestamp", text)).groupBy("src_ip", "query_name").agg(
+        F.count("*").alias("n"), F.min(_us("timestamp")).alias("first_us"),
+        F.max(_us("timestamp")).alias("last_us"))
+
+
+def alert_list(spark, sf_dir):
+    """The alert table in its order, which the position proves."""
+    shown = analytics.alert_table(alert_table(spark, sf_dir))
+    return shown.withColumn("position", F.monotonically_increasing_id()).select(
+        "alert_id", "severity_label", "detector", "src_ip", "domain", "mitre_id",
+        F.rank().over(Window.orderBy("position")).cast("bigint").alias("position"))
+
+
+def alert_preview(spark, sf_dir):
+    return analytics.alert_preview(alert_table(spark, sf_dir)).select(
+        "alert_id", _us("timestamp").alias("us"), "detector", "severity_score", "severity_label",
+        "src_ip", "domain", "mitre_id")
+
+
 def kpis(spark, sf_dir):
     row = analytics.kpis(dns_events(spark, sf_dir), alert_table(spark, sf_dir))
     return row.select(*[_long(c) for c in row.columns])
@@ -433,6 +523,9 @@ QUERIES = [
     kpis, traffic_15min, top_talkers, top_domains, response_codes, alerts_by_detector,
     alert_search, critical_status, top_critical_alerts, domain_detail, domain_alerts,
     domain_history, flagged_domains, default_domain,
+    alert_hosts, host_risk_all_hosts, tactic_summary_all_hosts, host_tactics_all_hosts,
+    timeline_all_hosts, kill_chain_all_hosts, recall_all_hosts, false_positives_all_hosts,
+    typosquat_cut_brands, timestamp_layouts, alert_list, alert_preview,
 ]
 
 

@@ -247,6 +247,26 @@ benign as (select src_ip from ev group by src_ip
            having min(ground_truth_label) = 'benign' and max(ground_truth_label) = 'benign')
 """
 
+# The same with every host of an alert instead of the listed ones.
+LISTED_HOSTS = """per_host as (
+  select * exclude (src_ip), src_ip as hosts, unnest(string_split(src_ip, ';')) as src_ip
+  from alerts)"""
+COMPLETE_HOSTS = """per_host as (
+  select a.* exclude (src_ip), a.src_ip as hosts, unnest(string_split(a.src_ip, ';')) as src_ip
+  from alerts a
+  where detector not in ('dga', 'typosquat', 'fast_flux', 'newly_registered')
+  union all
+  select a.* exclude (src_ip), a.src_ip as hosts, e.src_ip
+  from alerts a join (
+    select registrable_domain, src_ip,
+      count(*) filter (where response_code = 'NOERROR' and response_ip <> '') as n_resolved,
+      count(first_registered_days_ago) as n_aged
+    from ev group by registrable_domain, src_ip) e on e.registrable_domain = a.domain
+  where detector in ('dga', 'typosquat') or detector = 'fast_flux' and n_resolved > 0
+    or detector = 'newly_registered' and n_aged > 0)"""
+assert LISTED_HOSTS in ALERTS
+ALL_HOSTS = ALERTS.replace(LISTED_HOSTS, COMPLETE_HOSTS)
+
 SELECTS = {
     "normalize_domains": ("", """
         select us, src_ip, query_name, query_type, response_code, response_ip, ttl,
@@ -428,7 +448,50 @@ SELECTS = {
     "default_domain": ("tfa", """
         select domain as registrable_domain from per_name
         where alert_no = 1 and starts_with(listed, name) limit 1"""),
+    "alert_hosts": ("tfh", """
+        select 'ALT-' || case when alert_no < 10000
+            then right('000' || cast(alert_no as varchar), 4)
+            else cast(alert_no as varchar) end as alert_id, src_ip from per_host"""),
+    "typosquat_cut_brands": ("", """
+        select * exclude (place) from (
+          select registrable_domain, d as edit_distance, brand as matched_brand, n_queries, last_us,
+            cast(92.0 - 24 * (d - 1) as double) as score,
+            row_number() over (partition by registrable_domain order by d, brand) as place
+          from (select *, levenshtein(registrable_domain, brand) as d
+                from (select registrable_domain, count(*) as n_queries, max(us) as last_us
+                      from ev group by registrable_domain)
+                cross join (select distinct substr(registrable_domain, 2) as brand from ev))
+          where d between 1 and 2 and length(registrable_domain) >= 4
+            and registrable_domain not in (select substr(registrable_domain, 2) from ev))
+        where place = 1"""),
+    "timestamp_layouts": ("", """
+        select src_ip, query_name, count(*) as n, min(t) as first_us, max(t) as last_us
+        from (select src_ip, query_name, host % 6 as layout,
+                us // 1000000 * 1000000 - case when host % 6 = 3 then 7200000000 else 0 end as t
+              from (select *, cast(string_split(src_ip, '.')[3] as bigint) * 256
+                      + cast(string_split(src_ip, '.')[4] as bigint) as host from ev))
+        where layout <> 5 group by src_ip, query_name"""),
+    "alert_list": ("tfa", """
+        select 'ALT-' || case when alert_no < 10000
+            then right('000' || cast(alert_no as varchar), 4)
+            else cast(alert_no as varchar) end as alert_id, severity_label, detector, src_ip, domain,
+          mitre_id, row_number() over (order by case severity_label when 'Critical' then 0
+            when 'High' then 1 when 'Medium' then 2 else 3 end, alert_no) as position
+        from alerts"""),
+    "alert_preview": ("tfa", """
+        select 'ALT-' || right('000' || cast(alert_no as varchar), 4) as alert_id, us, detector,
+          severity_score, severity_label, src_ip, domain, mitre_id
+        from alerts where alert_no <= 15"""),
+}
+
+#: Queries whose statement is another's over every host of an alert.
+OVER_ALL_HOSTS = {
+    "host_risk_all_hosts": "host_risk", "tactic_summary_all_hosts": "tactic_summary",
+    "host_tactics_all_hosts": "host_tactics", "timeline_all_hosts": "timeline",
+    "kill_chain_all_hosts": "kill_chain", "recall_all_hosts": "recall_by_scenario",
+    "false_positives_all_hosts": "false_positives",
 }
+SELECTS.update({name: ("tfh", SELECTS[same][1]) for name, same in OVER_ALL_HOSTS.items()})
 
 SAME_AS = {
     "beaconing_heavy_pairs": "beaconing_features",
@@ -444,7 +507,7 @@ def build(*, words, suffixes, brands, providers, dga_score, tunnel, beacon, burs
         "tunnel": tunnel, "beacon": beacon, "burst": burst, "host": host, "domain": domain,
         "width": round(burst["window_minutes"] * 60_000_000), "hosts": HOSTS,
     }
-    blocks = {"t": TEXT, "f": FEATURES, "a": ALERTS}
+    blocks = {"t": TEXT, "f": FEATURES, "a": ALERTS, "h": ALL_HOSTS}
     statements = {}
     for name, (needs, select) in SELECTS.items():
         tables = ",".join([VIEW, *[blocks[b] for b in needs]])

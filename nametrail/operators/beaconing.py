@@ -1,11 +1,11 @@
 """(host, name) pairs queried at regular intervals."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nametrail.functions.scoring import capped
 from nametrail.operators.alerts import to_alerts
-from nametrail.operators.skew import HEAVY_MIN_ROWS, heavy_by_sketch, sliced
+from nametrail.operators.skew import HEAVY_MIN_ROWS, heavy_by_count, sliced
 
 # Score weights and the query count that counts as full.
 REGULARITY_WEIGHT, COUNT_WEIGHT = 0.7, 0.3
@@ -13,52 +13,57 @@ FULL_COUNT = 50
 
 KEY = ["src_ip", "query_name"]
 SLICE_US = 60_000_000
+_EXACT = "decimal(38,0)"
+
+
+def _product(a: str, b: str) -> Column:
+    return (F.col(a).cast("decimal(19,0)") * F.col(b).cast("decimal(19,0)")).cast(_EXACT)
+
 
 
 def interval_stats(events: DataFrame, min_queries: int, heavy_min_rows: int,
                    slice_us: int) -> DataFrame:
     """Count, mean and population deviation of the gaps between queries.
 
-    Gaps are taken inside each slice; their moments and the gaps between slices
-    are then folded per key around the exact mean ``(last - first) / (n - 1)``.
+    Pairs with too few queries leave by their exact counts before any row is shuffled or
+    sorted. Gaps are taken inside each slice; the squares of these and of the gaps between
+    slices are summed per key as whole numbers, so the order of adding cannot matter.
     Queries at one instant are gaps of zero.
     """
-    rows = events.select(*KEY, F.unix_micros("timestamp").alias("us"))
-    heavy = heavy_by_sketch(rows, KEY, heavy_min_rows)
+    counts = events.groupBy(*KEY).agg(F.count("*").alias("n_rows")).where(
+        F.col("n_rows") >= min_queries)
+    rows = events.select(*KEY, F.unix_micros("timestamp").alias("us")).join(
+        counts.select(*KEY), KEY, "left_semi")
+    heavy = heavy_by_count(counts, KEY, "n_rows", heavy_min_rows)
     in_slice = Window.partitionBy(*KEY, "slice").orderBy("us")
     slices = (
         sliced(rows, KEY, slice_us, heavy)
-        .withColumn("gap", (F.col("us") - F.lag("us").over(in_slice)) / 1_000_000)
+        .withColumn("gap", F.col("us") - F.lag("us").over(in_slice))
         .groupBy(*KEY, "slice")
         .agg(F.sum("copies").alias("n"), F.min("us").alias("first_us"),
-             F.max("us").alias("last_us"), F.count("gap").alias("gaps"),
-             F.avg("gap").alias("gap_mean"), F.var_pop("gap").alias("gap_var"))
-        .where(F.col("slice").isNotNull() | (F.col("n") >= min_queries))
-    )
-    key = Window.partitionBy(*KEY)
-    n, mean = F.col("n_queries"), F.col("mean_interval_sec")
-    zero_gaps = n - 1 - F.col("known_gaps")
+             F.max("us").alias("last_us"), F.sum(_product("gap", "gap")).alias("squares")))
+    by_slice = Window.partitionBy(*KEY).orderBy("slice")
+    n, span, near = F.col("n_queries"), F.col("span"), F.col("near")
+    # Deviations are taken from the whole number nearest the mean: small and exact.
+    squares = (F.col("squares") - 2 * _product("near", "span")
+               + _product("near", "near") * (n - 1).cast("decimal(19,0)"))
+    mean_us = span / (n - 1)
     return (
         slices
-        .withColumn("between", (F.col("first_us") - F.lag("last_us").over(
-            key.orderBy("slice"))) / 1_000_000)
-        .withColumn("n_queries", F.sum("n").over(key))
-        .withColumn("span", (F.max("last_us").over(key) - F.min("first_us").over(key)) / 1_000_000)
-        .where((n >= min_queries) & (F.col("span") > 0))
-        .withColumn("mean_interval_sec", F.col("span") / (n - 1))
-        .groupBy(*KEY, "n_queries", "mean_interval_sec")
-        .agg(
-            F.max("last_us").alias("last_us"),
-            F.sum(F.col("gaps") + F.when(F.col("between").isNotNull(), 1).otherwise(0))
-            .alias("known_gaps"),
-            F.sum(
-                F.coalesce(F.col("gaps") * (F.col("gap_var") + F.pow(F.col("gap_mean") - mean, 2)),
-                           F.lit(0.0))
-                + F.coalesce(F.pow(F.col("between") - mean, 2), F.lit(0.0))).alias("squares"))
+        .withColumn("between", F.col("first_us") - F.lag("last_us").over(by_slice))
+        .groupBy(*KEY)
+        .agg(F.sum("n").alias("n_queries"), F.max("last_us").alias("last_us"),
+             (F.max("last_us") - F.min("first_us")).alias("span"),
+             (F.coalesce(F.sum("squares"), F.lit(0).cast(_EXACT))
+              + F.coalesce(F.sum(_product("between", "between")), F.lit(0).cast(_EXACT)))
+             .cast(_EXACT).alias("squares"))
+        .where((n >= min_queries) & (span > 0))
+        .withColumn("near", F.round(mean_us).cast("bigint"))
+        .withColumn("variance_us", F.greatest(
+            F.lit(0.0), squares.cast("double") / (n - 1) - F.pow(mean_us - near, 2)))
         .select(*KEY, "n_queries", F.timestamp_micros("last_us").alias("last_seen"),
-                "mean_interval_sec",
-                F.sqrt((F.col("squares") + zero_gaps * F.pow(mean, 2)) / (n - 1))
-                .alias("std_interval_sec"))
+                (mean_us / 1_000_000).alias("mean_interval_sec"),
+                (F.sqrt("variance_us") / 1_000_000).alias("std_interval_sec"))
     )
 
 

@@ -73,9 +73,13 @@ def _failures(events: DataFrame) -> DataFrame:
 
 def host_bursts(events: DataFrame, hosts: DataFrame, window_minutes: float, count_threshold: int,
                 heavy_min_rows: int, slice_us: int) -> DataFrame:
-    heavy = heavy_by_count(hosts, ["src_ip"], "total_nxdomain_events", heavy_min_rows)
+    """Bursts of the hosts whose failures reach the threshold at all; the others' failures
+    are neither shuffled nor sorted."""
+    able = hosts.where(F.col("total_nxdomain_events") >= count_threshold)
+    heavy = heavy_by_count(able, ["src_ip"], "total_nxdomain_events", heavy_min_rows)
+    failed = _failures(events).join(able.select("src_ip"), "src_ip", "left_semi")
     return largest_windows(
-        _failures(events), heavy, _window_us(window_minutes), count_threshold, slice_us)
+        failed, heavy, _window_us(window_minutes), count_threshold, slice_us)
 
 
 def _scored(bursts: DataFrame, hosts: DataFrame, count_threshold: int,
@@ -102,7 +106,8 @@ def nxdomain_features(events: DataFrame, window_minutes: float = 5.0, count_thre
         "src_ip", F.col("n_queries").alias("host_total"),
         F.col("n_nx").alias("total_nxdomain_events"))
     bursts = host_bursts(
-        events, hosts, window_minutes, count_threshold, heavy_min_rows, slice_us)
+        events, hosts.where(F.col("total_nxdomain_events") >= min_total), window_minutes,
+        count_threshold, heavy_min_rows, slice_us)
     return _scored(bursts, hosts, count_threshold, min_total).join(
         burst_names(events, bursts, window_minutes), "src_ip")
 

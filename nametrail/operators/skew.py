@@ -5,18 +5,14 @@ the few heavy keys are found first; their rows are merged per
 instant and cut into time slices, so that a window runs per (key, slice). The
 caller folds the slices of a key together afterwards. All other keys form one
 slice each. Which keys count as heavy only decides where rows are processed: the
-folded result is the same for every choice.
+folded result is the same to the last bit for every choice, as sums are exact.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys are treated as heavy, so the broadcast list of their
-# 8-byte hashes stays below 100 KB whatever the data size. Any key outside the
-# list then holds less than 1 / MAX_HEAVY_KEYS of the rows.
-MAX_HEAVY_KEYS = 4096
-SKETCH_ITEMS = 16_384
-SKETCH_GROUPS = 256
+# Keys with this many rows are cut. There are at most (rows / HEAVY_MIN_ROWS) of them,
+# and only their 8-byte hashes are broadcast: 4 MB for 1e12 rows.
 HEAVY_MIN_ROWS = 2_000_000
 
 _HASH = "_key_hash"
@@ -26,34 +22,9 @@ def key_hash(keys: list[str]) -> Column:
     return F.xxhash64(*keys).alias(_HASH)
 
 
-def heavy_by_sketch(rows: DataFrame, keys: list[str], min_rows: int) -> DataFrame:
-    """Hashes of the keys with at least ``min_rows`` rows, by mergeable sketches.
-
-    Each map task makes one sketch of bounded size. They are merged in two steps,
-    so the last task sees ``SKETCH_GROUPS`` sketches however many files there are.
-    The rows themselves are not shuffled.
-    """
-    group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_group")
-    sketches = (
-        rows.select(key_hash(keys), group)
-        .groupBy("_group")
-        .agg(F.expr(f"approx_top_k_accumulate({_HASH}, {SKETCH_ITEMS})").alias("sketch")))
-    # Grouped by a constant: an empty input must give no row, not an empty sketch.
-    top = sketches.groupBy(F.lit(0).alias("_all")).agg(F.expr(
-        f"approx_top_k_estimate(approx_top_k_combine(sketch, {SKETCH_ITEMS}), {MAX_HEAVY_KEYS})"
-    ).alias("top"))
-    return (
-        top.select(F.inline("top"))
-        .where(F.col("count") >= min_rows)
-        .select(F.col("item").alias(_HASH)))
-
-
 def heavy_by_count(totals: DataFrame, keys: list[str], count: str, min_rows: int) -> DataFrame:
-    """The same from known counts per key: the largest ``MAX_HEAVY_KEYS``."""
-    return (
-        totals.where(F.col(count) >= min_rows)
-        .orderBy(F.desc(count), *keys).limit(MAX_HEAVY_KEYS)
-        .select(key_hash(keys)))
+    """Hashes of all keys with at least ``min_rows`` rows, from exact counts per key."""
+    return totals.where(F.col(count) >= min_rows).select(key_hash(keys))
 
 
 def sliced(rows: DataFrame, keys: list[str], slice_us: int, heavy: DataFrame) -> DataFrame:

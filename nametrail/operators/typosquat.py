@@ -7,45 +7,21 @@ from pyspark.sql import functions as F
 
 from nametrail.constants import BRAND_WATCHLIST, MAX_HOSTS_PER_ALERT
 from nametrail.operators.alerts import to_alerts
-from nametrail.operators.rollup import after_grouping, domain_totals, with_hosts
+from nametrail.operators.rollup import domain_totals, with_hosts
 
 # Score at distance one, loss per further edit, shortest domain.
 NEAREST_SCORE, LOSS_PER_EDIT = 92, 24
 MIN_DOMAIN_LEN = 4
 
-# Lists up to this length are compared inside one projection.
-MAX_INLINE_BRANDS = 500
-
-
-def nearest_brand(name: Column, brands: Sequence[str], max_distance: int) -> Column:
-    """Struct (edit_distance, pos, matched_brand) of the nearest listed brand.
-
-    The smallest (distance, list position) wins; null when no brand is near. The
-    bounded edit distance stops early and is not computed when the lengths
-    already differ too much.
-    """
-    watched = F.array([
-        F.struct(F.lit(i).alias("pos"), F.lit(b).alias("brand"), F.lit(len(b)).alias("len"))
-        for i, b in enumerate(brands)])
-
-    def candidate(b: Column) -> Column:
-        near = F.abs(F.length(name) - b["len"]) <= max_distance
-        return F.struct(
-            F.when(near, F.levenshtein(name, b["brand"], max_distance)).otherwise(-1)
-            .alias("edit_distance"), b["pos"].alias("pos"), b["brand"].alias("matched_brand"))
-
-    return F.array_min(F.filter(F.transform(watched, candidate), lambda c: c["edit_distance"] >= 0))
-
-
-def _nearest_inline(domains: DataFrame, brands: Sequence[str], max_distance: int) -> DataFrame:
-    """Nearest brand per domain from a constant list: no join at all."""
-    best = nearest_brand(F.col("registrable_domain"), brands, max_distance)
-    return (
-        domains.withColumn("best", after_grouping(best))
-        .where(F.col("best.edit_distance") >= 1)
-        .select("registrable_domain", "n_queries", "last_seen", "best.edit_distance",
-                "best.matched_brand")
-    )
+def nearest_listed_brand(name: Column, brands: Sequence[str], max_distance: int) -> Column:
+    """Struct (edit_distance, pos, matched_brand) of the nearest of a few brands, as an
+    expression for streams; the smallest (distance, list position) wins, null if none is near."""
+    listed = F.array([F.struct(F.lit(i).alias("pos"), F.lit(b).alias("brand"))
+                      for i, b in enumerate(brands)])
+    measured = F.transform(listed, lambda b: F.struct(
+        F.levenshtein(name, b["brand"], max_distance).alias("edit_distance"), b["pos"].alias("pos"),
+        b["brand"].alias("matched_brand")))
+    return F.array_min(F.filter(measured, lambda c: c["edit_distance"] >= 0))
 
 
 def deletion_keys(name: Column, max_distance: int) -> Column:
@@ -67,8 +43,8 @@ def deletion_keys(name: Column, max_distance: int) -> Column:
     return keys
 
 
-def _nearest_by_key(domains: DataFrame, brands: DataFrame, max_distance: int) -> DataFrame:
-    """Nearest brand per domain for long lists (columns ``brand, pos``).
+def nearest_brand(domains: DataFrame, brands: DataFrame, max_distance: int) -> DataFrame:
+    """Nearest brand per domain (``brands`` has columns ``brand, pos``), ties to the first.
 
     Domains and brands meet on deletion keys (an equi-join), then the distance
     is verified. Domains without a brand of similar length make no keys; exact
@@ -104,18 +80,14 @@ def typosquat_features(events: DataFrame, max_distance: int = 2, *,
                        pairs: DataFrame | None = None) -> DataFrame:
     """Nearest brand within ``max_distance`` edits of every other domain.
 
-    ``brands``: names in tie-break order, or a DataFrame ``brand, pos``.
+    ``brands``: names in tie-break order, or a DataFrame ``brand, pos`` where ``pos`` is
+    anything that orders. Domains and brands meet on deletion keys whatever the list's size.
     """
     domains = domain_totals(events, pairs).where(
         F.length("registrable_domain") >= MIN_DOMAIN_LEN)
-    if isinstance(brands, DataFrame):
-        near = _nearest_by_key(domains, brands.select("brand", "pos"), max_distance)
-    elif len(brands) > MAX_INLINE_BRANDS:
-        listed = domains.sparkSession.createDataFrame(
-            [(b, i) for i, b in enumerate(brands)], "brand string, pos int")
-        near = _nearest_by_key(domains, listed, max_distance)
-    else:
-        near = _nearest_inline(domains, brands, max_distance)
+    listed = brands if isinstance(brands, DataFrame) else domains.sparkSession.createDataFrame(
+        [(b, i) for i, b in enumerate(brands)], "brand string, pos int")
+    near = nearest_brand(domains, listed.select("brand", "pos"), max_distance)
     return near.withColumn("score", (
         NEAREST_SCORE - (F.col("edit_distance") - 1) * LOSS_PER_EDIT).cast("double"))
 

@@ -8,6 +8,7 @@ from nametrail.plans.pipeline import (
     union_alerts,
 )
 from nametrail.plans.risk import (
+    alert_hosts,
     compute_host_risk,
     generate_executive_summary,
     host_alert_timeline,
@@ -15,7 +16,7 @@ from nametrail.plans.risk import (
 )
 
 __all__ = [
-    "DETECTOR_FUNCS", "compute_host_risk", "evaluate_against_ground_truth",
+    "DETECTOR_FUNCS", "alert_hosts", "compute_host_risk", "evaluate_against_ground_truth",
     "generate_executive_summary", "host_alert_timeline", "host_tactic_summary",
     "number_alerts", "run_all_detectors", "union_alerts",
 ]

@@ -29,17 +29,17 @@ def _is_host_granular(scenario: Column, host_granular: Sequence[str]) -> Column:
     return scenario.isin(list(host_granular)) if host_granular else F.lit(False)
 
 
-def flagged_units(alerts: DataFrame) -> DataFrame:
+def flagged_units(alerts: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
     """Distinct (detector, src_ip, domain) over both lists of every alert."""
     return (
-        by_host(alerts).select(
+        by_host(alerts, hosts).select(
             "detector", "src_ip", F.explode(F.split("domain", LIST_SEPARATOR)).alias("part"))
         .select("detector", "src_ip", F.coalesce(
             F.nullif(registrable_domain("part"), F.lit("")), F.col("part")).alias("domain"))
         .distinct())
 
 
-def recall_by_scenario(events: DataFrame, alerts: DataFrame, *,
+def recall_by_scenario(events: DataFrame, alerts: DataFrame, hosts: DataFrame | None = None, *,
                        scenarios: Mapping[str, str] = SCENARIO_TO_DETECTOR,
                        host_granular: Sequence[str] = HOST_GRANULAR_SCENARIOS) -> DataFrame:
     """Labelled units found by the expected detector, per scenario.
@@ -59,7 +59,7 @@ def recall_by_scenario(events: DataFrame, alerts: DataFrame, *,
     expected = F.array([F.struct(F.lit(s).alias("scenario"), F.lit(d).alias("detector"))
                         for s, d in scenarios.items()])
     flagged = (
-        flagged_units(alerts)
+        flagged_units(alerts, hosts)
         .withColumn("scenario", F.explode(F.filter(
             expected, lambda e: e["detector"] == F.col("detector"))["scenario"]))
         .withColumn("domain", unit_domain)
@@ -87,14 +87,16 @@ def benign_hosts(events: DataFrame) -> DataFrame:
         .select("src_ip"))
 
 
-def false_positive_hosts(events: DataFrame, alerts: DataFrame) -> DataFrame:
+def false_positive_hosts(events: DataFrame, alerts: DataFrame,
+                         hosts: DataFrame | None = None) -> DataFrame:
     """Benign-only hosts that appear in any alert."""
-    flagged = by_host(alerts).select("src_ip")
+    flagged = by_host(alerts, hosts).select("src_ip")
     return benign_hosts(events).join(flagged, "src_ip", "left_semi").orderBy("src_ip")
 
 
-def false_positive_summary(events: DataFrame, alerts: DataFrame) -> DataFrame:
-    flagged = by_host(alerts).select("src_ip").distinct().withColumn("hit", F.lit(1))
+def false_positive_summary(events: DataFrame, alerts: DataFrame,
+                           hosts: DataFrame | None = None) -> DataFrame:
+    flagged = by_host(alerts, hosts).select("src_ip").distinct().withColumn("hit", F.lit(1))
     rate = F.coalesce(F.try_divide("false_positive_hosts", "benign_hosts_total"), F.lit(0.0))
     return (
         benign_hosts(events).join(flagged, "src_ip", "left")
@@ -103,13 +105,15 @@ def false_positive_summary(events: DataFrame, alerts: DataFrame) -> DataFrame:
         .withColumn("false_positive_rate", F.round(rate, 3)))
 
 
-def evaluate_against_ground_truth(events: DataFrame, alerts: DataFrame) -> Evaluation | None:
-    """Recall and false positives; None without a label column.
+def evaluate_against_ground_truth(events: DataFrame, alerts: DataFrame,
+                                  hosts: DataFrame | None = None) -> Evaluation | None:
+    """Recall and false positives; None without any label.
 
-    A table whose labels are all null gives empty frames and zero counts.
+    ``hosts`` (``alert_hosts``) counts every host of an alert instead of the listed ones.
     """
-    if "ground_truth_label" not in events.columns:
+    if ("ground_truth_label" not in events.columns
+            or events.where(F.col("ground_truth_label").isNotNull()).isEmpty()):
         return None
     return Evaluation(
-        recall_by_scenario(events, alerts), false_positive_hosts(events, alerts),
-        false_positive_summary(events, alerts))
+        recall_by_scenario(events, alerts, hosts), false_positive_hosts(events, alerts, hosts),
+        false_positive_summary(events, alerts, hosts))

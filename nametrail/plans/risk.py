@@ -10,6 +10,7 @@ from nametrail.constants import (
     TACTIC_ORDER,
 )
 from nametrail.functions.scoring import severity_label, tactic_of, tactic_rank
+from nametrail.operators.rollup import pair_rollup
 from nametrail.plans.pipeline import DETECTOR_FUNCS, alert_order, detector_rank
 from nametrail.schema import HOST_RISK_COLUMNS
 
@@ -19,8 +20,39 @@ def lists_value(column: str, value: str) -> Column:
     return F.array_contains(F.split(column, LIST_SEPARATOR), value)
 
 
-def by_host(alerts: DataFrame) -> DataFrame:
-    """One row per alert and listed host; ``hosts`` keeps the list."""
+#: Detectors that flag a domain; which of its hosts count (a count of the rollup above zero).
+DOMAIN_DETECTORS = {
+    "dga": None, "typosquat": None, "fast_flux": "n_resolved", "newly_registered": "n_aged"}
+
+
+def alert_hosts(alerts: DataFrame, events: DataFrame | None = None,
+                pairs: DataFrame | None = None) -> DataFrame:
+    """``alert_id, src_ip``: every host of every alert.
+
+    The host list of an alert on a domain is cut for display; its hosts come from the
+    (host, domain) rollup, by the same condition that the detector lists them by. Alerts of
+    other detectors name their hosts in full.
+    """
+    pairs = pair_rollup(events) if pairs is None else pairs
+    flagged = alerts.where(F.col("detector").isin(list(DOMAIN_DETECTORS))).select(
+        "alert_id", "detector", F.col("domain").alias("registrable_domain"))
+    counts = F.lit(True)
+    for detector, count in DOMAIN_DETECTORS.items():
+        if count is not None:
+            counts = counts & ((F.col("detector") != detector) | (F.col(count) > 0))
+    wide = flagged.join(pairs, "registrable_domain").where(counts).select("alert_id", "src_ip")
+    named = by_host(alerts.where(~F.col("detector").isin(list(DOMAIN_DETECTORS))))
+    return wide.unionByName(named.select("alert_id", "src_ip"))
+
+
+def by_host(alerts: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+    """One row per alert and host; ``hosts`` keeps the list.
+
+    With ``hosts`` (``alert_hosts``) these are all hosts of an alert; without, those its
+    text lists, five at most for alerts on domains.
+    """
+    if hosts is not None:
+        return alerts.withColumnRenamed("src_ip", "hosts").join(hosts, "alert_id")
     return (
         alerts.withColumn("hosts", F.col("src_ip"))
         .withColumn("src_ip", F.explode(F.split("src_ip", LIST_SEPARATOR)))
@@ -32,7 +64,7 @@ def _sorted_names(column: str) -> Column:
     return F.array_join(F.sort_array(F.collect_list(column)), ", ")
 
 
-def compute_host_risk(alerts: DataFrame) -> DataFrame:
+def compute_host_risk(alerts: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
     """Risk per host named in any alert, highest first.
 
     Highest severity plus a bonus per additional detector, at most 100; the label
@@ -42,7 +74,7 @@ def compute_host_risk(alerts: DataFrame) -> DataFrame:
     top = F.min(F.struct(
         (-F.col("severity_score")).alias("neg_score"), detector_rank(F.col("detector")),
         "domain", "hosts", "timestamp", "detector", "reason"))
-    per_detector = by_host(alerts).groupBy("src_ip", "detector").agg(
+    per_detector = by_host(alerts, hosts).groupBy("src_ip", "detector").agg(
         F.count("*").alias("n"), top.alias("top"))
     risk = F.least(F.lit(MAX_SCORE), -F.col("top.neg_score")
                    + CORRELATION_BONUS_PER_DETECTOR * (F.col("n_detectors") - 1))
@@ -71,28 +103,38 @@ def _tactics(alerts: DataFrame, keys: list[str]) -> DataFrame:
         .orderBy(*keys, rank, "tactic"))
 
 
-def host_tactic_summary(alerts: DataFrame, src_ip: str) -> DataFrame:
+def _of_host(alerts: DataFrame, src_ip: str, hosts: DataFrame | None) -> DataFrame:
+    if hosts is None:
+        return alerts.where(lists_value("src_ip", src_ip))
+    return alerts.join(hosts.where(F.col("src_ip") == src_ip).select("alert_id"), "alert_id",
+                       "left_semi")
+
+
+def host_tactic_summary(alerts: DataFrame, src_ip: str,
+                        hosts: DataFrame | None = None) -> DataFrame:
     """Tactics that one host's alerts touch, in tactic order, unknown ones last."""
-    return _tactics(alerts.where(lists_value("src_ip", src_ip)), [])
+    return _tactics(_of_host(alerts, src_ip, hosts), [])
 
 
-def all_host_tactics(alerts: DataFrame) -> DataFrame:
+def all_host_tactics(alerts: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
     """The tactic summary of every host at once."""
-    return _tactics(by_host(alerts), ["src_ip"])
+    return _tactics(by_host(alerts, hosts), ["src_ip"])
 
 
-def host_alert_timeline(alerts: DataFrame, src_ip: str) -> DataFrame:
+def host_alert_timeline(alerts: DataFrame, src_ip: str,
+                        hosts: DataFrame | None = None) -> DataFrame:
     """One host's alerts, oldest first."""
-    return alerts.where(lists_value("src_ip", src_ip)).orderBy("timestamp", *alert_order())
+    return _of_host(alerts, src_ip, hosts).orderBy("timestamp", *alert_order())
 
 
-def kill_chain(alerts: DataFrame, src_ip: str | None = None) -> DataFrame:
+def kill_chain(alerts: DataFrame, src_ip: str | None = None,
+               hosts: DataFrame | None = None) -> DataFrame:
     """All tactics in order with the top severity label, null where untouched.
 
     For one host, or for every host (then with a ``src_ip`` column).
     """
     keys = ["src_ip"] if src_ip is None else []
-    rows = by_host(alerts) if src_ip is None else alerts.where(lists_value("src_ip", src_ip))
+    rows = by_host(alerts, hosts) if src_ip is None else _of_host(alerts, src_ip, hosts)
     tactic = tactic_of(F.col("mitre_id"))
     tops = [F.max(F.when(tactic == t, F.col("severity_score"))).alias(f"_{i}")
             for i, t in enumerate(TACTIC_ORDER)]

@@ -15,7 +15,7 @@ from nametrail.functions.text import shannon_entropy
 from nametrail.operators.alerts import share
 from nametrail.operators.dga import long_label, score_labels
 from nametrail.operators.tunneling import CARRIER_TYPES, duration_minutes, tunneling_score
-from nametrail.operators.typosquat import MIN_DOMAIN_LEN, nearest_brand
+from nametrail.operators.typosquat import MIN_DOMAIN_LEN, nearest_listed_brand
 from nametrail.plans.pipeline import run_all_detectors
 from nametrail.schema import EVENT_SCHEMA
 from nametrail.sources.bind import parse_bind_lines
@@ -89,7 +89,7 @@ def flag_events(events: DataFrame, *, min_label_len: int = 6, dga_threshold: flo
     """
     scored = score_labels(events.withColumn("n_queries", F.lit(1)))
     near = F.when(F.length("registrable_domain") >= MIN_DOMAIN_LEN,
-                  nearest_brand(F.col("registrable_domain"), brands, max_distance))
+                  nearest_listed_brand(F.col("registrable_domain"), brands, max_distance))
     return (
         scored.withColumns({
             "dga_score": F.when(
