@@ -13,17 +13,18 @@ def oracle():
     return duck(SF), entry.oracle_sql()
 
 
+NAMES = [query.__name__ for query in entry.QUERIES]
+
+
 def test_statements_and_queries_pair_up():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(NAMES) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, oracle, name):
     connection, statements = oracle
     df = entry.queries()[name](spark, SF)
-    if name not in statements:
-        assert df.count() >= 0
-        return
     assert differences(df, *oracle_rows(connection, statements[name])) == []
 
 

@@ -102,16 +102,22 @@ def test_many_queries_at_one_instant_only(make_events):
     assert plain.mean_interval_sec == heavy.mean_interval_sec == 2.0
 
 
-def test_the_sketch_finds_the_heavy_pair(spark):
+def test_every_heavy_key_is_found(spark):
     from pyspark.sql import functions as F
 
-    from nametrail.operators.skew import heavy_by_sketch, key_hash
+    from nametrail.operators.skew import heavy_by_count
 
-    rows = spark.range(0, 300_000, numPartitions=16).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("k"))
-    heavy = heavy_by_sketch(rows, ["k"], 50_000).collect()
-    hot = spark.sql("select 'hot' as k").select(key_hash(["k"])).first()[0]
-    assert [r[0] for r in heavy] == [hot]
+    totals = spark.range(0, 20_000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 4).alias("n"))
+    assert heavy_by_count(totals, ["k"], "n", 3).distinct().count() == 5_000
+
+
+def test_slicing_never_changes_a_bit(make_events):
+    rows = random_rows(5, 600)
+    events = make_events(rows)
+    forms = [sorted(map(tuple, ops.beaconing_features(
+        events.repartition(n), 6, 1.0, heavy_min_rows=heavy, slice_us=slice_us).collect()))
+        for n, heavy, slice_us in ((1, 10**9, 60 * US), (5, 1, 7 * US), (3, 40, 45 * US))]
+    assert forms[0] and forms[0] == forms[1] == forms[2]
 
 
 def test_host_lists_are_bounded_and_sorted(make_events):

@@ -184,3 +184,38 @@ def test_alert_export(spark, tmp_path):
     export_alerts_csv(alerts, str(tmp_path / "out"))
     back = spark.read.option("header", True).csv(str(tmp_path / "out"))
     assert back.columns == [c for c in ALERT_COLUMNS if c != "evidence"]
+
+
+TIMES = [
+    ("2026-08-18T10:15:23.456", "2026-08-18 10:15:23.456"), ("08/18/2026 10:15:23", "2026-08-18 10:15:23"),
+    ("8/1/2026", "2026-08-01 00:00:00"), ("2026/08/18 10:15", "2026-08-18 10:15:00"),
+    ("20260818 10:15:23", "2026-08-18 10:15:23"), ("2026-08-18", "2026-08-18 00:00:00"),
+    ("2026-08-18 101523", "2026-08-18 10:15:23"), ("2026-08-18T10:15:23Z", "2026-08-18 10:15:23"),
+    ("2026-08-18 10:15:23+02:00", "2026-08-18 08:15:23"), (" 2026-08-18 10:15:23 ", "2026-08-18 10:15:23"),
+    ("2026-03-08 02:30:00", "2026-03-08 02:30:00"), ("13/45/2026 1:2:3", None), ("soon", None), ("", None),
+    (None, None)]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_times_do_not_depend_on_the_session(spark, zone):
+    from datetime import datetime, timezone
+
+    from pyspark.sql import functions as F
+
+    from nametrail.sources.normalize import parsed_timestamp, rejected_rows
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        frame = spark.createDataFrame([(t,) for t, _ in TIMES], "timestamp string")
+        got = [r.us for r in frame.select(F.unix_micros(parsed_timestamp(F.col("timestamp"))).alias("us"))
+               .collect()]
+        want = [w and round(datetime.fromisoformat(w).replace(tzinfo=timezone.utc).timestamp() * 10**6)
+                for _, w in TIMES]
+        assert got == want
+        assert rejected_rows(frame).count() == 4
+        madrid = frame.limit(1).select(F.unix_micros(
+            parsed_timestamp(F.col("timestamp"), "Europe/Madrid"))).first()[0]
+        assert madrid == want[0] - 7_200_000_000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
