@@ -128,25 +128,38 @@ def tunneling_sessions(events: DataFrame, gap: str = "10 minutes", min_queries:
                 "unique_ratio", "avg_entropy", "first_seen", "last_seen", "score"))
 
 
+def _ddl(schema) -> str:
+    return schema if isinstance(schema, str) else ", ".join(
+        f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+
+
 def detect_on_batches(events: DataFrame, store: str, checkpoint: str,
                       deliver: Callable[[DataFrame, int], None], *, hours: float = 24.0,
-                      params=None, detectors=None):
+                      ahead_hours: float = 24.0, params=None, detectors=None):
     """Run the batch detectors per micro-batch over the trailing ``hours``.
 
-    Each micro-batch is written to ``store/batch_id=N`` (overwritten on a replay,
-    so a restart repeats nothing), then the stored rows of the trailing time are
-    read back and ``deliver(alerts, batch_id)`` gets their alerts. Returns the
+    Each micro-batch is written to ``store/batch_id=N/event_day=D`` (overwritten on a
+    replay, so a restart repeats nothing), then the stored rows of the trailing time, read
+    by day, go to the detectors and ``deliver(alerts, batch_id)`` gets their alerts. The
+    time trails the newest row of the whole store, so a batch of late rows alone moves
+    nothing back; rows more than ``ahead_hours`` past the clock do not count. Returns the
     ``DataStreamWriter``; call ``trigger(...)`` and ``start()`` on it.
     """
+    day = F.to_date("timestamp")
+
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
-        stored = spark.read.schema(EVENT_SCHEMA).parquet(store)
-        newest = (spark.read.schema(EVENT_SCHEMA).parquet(f"{store}/batch_id={batch_id}")
-                  .agg(F.max("timestamp")).first()[0])
-        if newest is not None:
-            start = F.lit(newest) - F.make_dt_interval(mins=F.lit(hours * 60).cast("int"))
-            recent = stored.where((F.col("timestamp") >= start) & (F.col("timestamp") <= newest))
-            deliver(run_all_detectors(recent.drop("batch_id"), params, detectors), batch_id)
+        (batch.withColumn("event_day", day).write.mode("overwrite").partitionBy("event_day")
+         .parquet(f"{store}/batch_id={batch_id}"))
+        latest = F.current_timestamp() + F.make_dt_interval(mins=F.lit(ahead_hours * 60).cast("int"))
+        stored = spark.read.schema(f"{_ddl(EVENT_SCHEMA)}, batch_id int, event_day date").parquet(
+            store).where((F.col("event_day") <= F.to_date(latest)) & (F.col("timestamp") <= latest))
+        last_day = stored.agg(F.max("event_day")).first()[0]
+        if last_day is None:
+            return
+        newest = F.lit(stored.where(F.col("event_day") == last_day).agg(F.max("timestamp")).first()[0])
+        start = newest - F.make_dt_interval(mins=F.lit(hours * 60).cast("int"))
+        recent = stored.where((F.col("event_day") >= F.to_date(start)) & (F.col("timestamp") >= start))
+        deliver(run_all_detectors(recent.drop("batch_id", "event_day"), params, detectors), batch_id)
 
     return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)

@@ -1,9 +1,9 @@
 """Detectors that keep state per key between micro-batches (extensions).
 
-Both expect the rows of a key in time order across micro-batches; a row older
-than the newest one already seen is dropped. State is small and expires: moments
-and one time per pair, or the failures of one window per host, merged per
-instant.
+Rows may come in any order within the watermark's delay: times the watermark has not
+passed are kept apart, merged per instant, and folded in order once it has. What is given
+out after each micro-batch counts them already. State is the folded moments and the
+instants of one delay per pair, or the failures of one window and one delay per host.
 """
 
 import numpy as np
@@ -12,44 +12,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-IDLE_MS = 24 * 3600 * 1000
+IDLE_HOURS = 24.0
 
 
-def _new_times(batches, last_us: int) -> np.ndarray:
-    times = np.concatenate([b["us"].to_numpy(dtype="int64") for b in batches])
-    times.sort()
-    return times[times >= last_us]
+def _merged(batches, instants: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Stored and new instants in order, each with its number of rows."""
+    new = [b["us"].to_numpy(dtype="int64") for b in batches]
+    times = np.concatenate([np.array(instants, dtype="int64"), *new])
+    weights = np.concatenate([np.array(counts, dtype="int64"),
+                              np.ones(sum(map(len, new)), dtype="int64")])
+    times, where = np.unique(times, return_inverse=True)
+    return times, np.bincount(where, weights, len(times)).astype("int64")
 
 
-def _expire_when_idle(state: GroupState, last_us: int) -> None:
+def _expire_when_idle(state: GroupState, last_us: int, idle_hours: float) -> None:
     """In event time: a timeout by the clock would never let a finite run end."""
-    state.setTimeoutTimestamp(max(last_us // 1000, state.getCurrentWatermarkMs()) + IDLE_MS)
-
-
-def beacon_state(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    state.setTimeoutTimestamp(
+        max(last_us // 1000, state.getCurrentWatermarkMs()) + round(idle_hours * 3_600_000))
+
+
+def _fold(moments: tuple, times: np.ndarray, counts: np.ndarray) -> tuple:
+    """Moments (n, mean, squares, last) after the gaps up to these later instants."""
+    n, mean, squares, last = moments
+    if not len(times):
+        return moments
+    gaps = np.diff(np.concatenate([[last], times]) if n else times) / 1e6
+    zeros = int((counts - 1).sum())
+    new = len(gaps) + zeros
+    if new:
+        average = gaps.sum() / new
+        known = max(n - 1, 0)
+        shift, total = average - mean, known + new
+        squares += float(((gaps - average) ** 2).sum() + zeros * average**2
+                         + shift**2 * known * new / total)
+        mean += float(shift * new / total)
+    return n + int(counts.sum()), mean, squares, int(times[-1])
+
+
+def beacon_state(events: DataFrame, delay: str = "10 minutes",
+                 idle_hours: float = IDLE_HOURS) -> DataFrame:
     """Running interval statistics per (host, name), after each micro-batch.
 
-    On rows in time order the last row of a pair equals the batch features. The
-    moments of a batch of gaps are merged into the stored ones.
+    The last row of a pair equals the batch features of its rows. A pair idle for
+    ``idle_hours`` is forgotten; slower beacons need more.
     """
     def update(key, batches, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        n, mean, squares, last = state.get if state.exists else (0, 0.0, 0.0, -(1 << 62))
-        times = _new_times(batches, last)
-        if len(times):
-            start = np.concatenate([[last], times]) if n else times
-            gaps = np.diff(start) / 1e6
-            known, new = max(n - 1, 0), len(gaps)
-            if new:
-                shift = gaps.mean() - mean
-                total = known + new
-                squares += float(((gaps - gaps.mean()) ** 2).sum() + shift**2 * known * new / total)
-                mean += float(shift * new / total)
-            n, last = n + len(times), int(times[-1])
-            state.update((n, mean, squares, last))
-        _expire_when_idle(state, last)
+        *moments, instants, counts = state.get if state.exists else (0, 0.0, 0.0, 0, [], [])
+        times, weights = _merged(batches, instants, counts)
+        if moments[0]:  # what is older than the folded rows lies outside the delay
+            weights, times = weights[times >= moments[3]], times[times >= moments[3]]
+        passed = times <= state.getCurrentWatermarkMs() * 1000
+        folded = _fold(tuple(moments), times[passed], weights[passed])
+        state.update((*folded, times[~passed].tolist(), weights[~passed].tolist()))
+        n, mean, squares, last = _fold(folded, times[~passed], weights[~passed])
+        _expire_when_idle(state, last, idle_hours)
         std = float(np.sqrt(squares / (n - 1))) if n > 1 else 0.0
         yield pd.DataFrame([(*key, n, mean, std, last)], columns=[
             "src_ip", "query_name", "n_queries", "mean_interval_sec", "std_interval_sec",
@@ -63,16 +82,17 @@ def beacon_state(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
             update,
             "src_ip string, query_name string, n_queries bigint, mean_interval_sec double, "
             "std_interval_sec double, last_us bigint",
-            "n bigint, mean double, squares double, last bigint",
+            "n bigint, mean double, squares double, last bigint, instants array<bigint>, "
+            "counts array<bigint>",
             "update", GroupStateTimeout.EventTimeTimeout))
 
 
 def burst_state(events: DataFrame, window_minutes: float = 5.0, count_threshold: int = 20,
-                delay: str = "10 minutes") -> DataFrame:
+                delay: str = "10 minutes", idle_hours: float = IDLE_HOURS) -> DataFrame:
     """Hosts whose largest closed failure window reached the threshold so far.
 
-    The exact count of the batch operator, for rows in time order. State keeps
-    the instants of the trailing window with their counts.
+    The exact count of the batch operator. A late failure can only add to windows that end
+    after the watermark, so the instants from one window before it are kept.
     """
     width = round(window_minutes * 60_000_000)
 
@@ -81,18 +101,16 @@ def burst_state(events: DataFrame, window_minutes: float = 5.0, count_threshold:
             state.remove()
             return
         best, end, old, counts = state.get if state.exists else (0, 0, [], [])
-        times = _new_times(batches, old[-1] if old else -(1 << 62))
-        instants = np.concatenate([np.array(old, dtype="int64"), times])
-        weights = np.concatenate([np.array(counts, dtype="int64"), np.ones(len(times), "int64")])
-        instants, where = np.unique(instants, return_inverse=True)
-        weights = np.bincount(where, weights).astype("int64")
+        instants, weights = _merged(batches, old, counts)
         sums = np.concatenate([[0], np.cumsum(weights)])
         inside = sums[1:] - sums[np.searchsorted(instants, instants - width, side="left")]
-        if len(inside) and inside.max() > best:
-            best, end = int(inside.max()), int(instants[inside.argmax()])
-        keep = instants >= instants[-1] - width if len(instants) else []
+        if len(inside):
+            most, at = int(inside.max()), int(instants[inside.argmax()])
+            if most > best or (most == best and at < end):
+                best, end = most, at
+        keep = instants >= state.getCurrentWatermarkMs() * 1000 - width
         state.update((best, end, instants[keep].tolist(), weights[keep].tolist()))
-        _expire_when_idle(state, int(instants[-1]))
+        _expire_when_idle(state, int(instants[-1]) if len(instants) else end, idle_hours)
         if best >= count_threshold:
             yield pd.DataFrame(
                 [(*key, best, end)], columns=["src_ip", "max_nxdomain_in_window", "end_us"])

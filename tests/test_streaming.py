@@ -153,3 +153,47 @@ def test_batch_detectors_on_micro_batches(spark, feed, make_events, tmp_path):
     writer.trigger(availableNow=True).start().awaitTermination()
     assert sorted(seen) == [0, 1]
     assert seen[1] == sorted(union_alerts(make_events(rows), detectors=some).collect())
+
+
+def shuffled_within(rows, seconds, seed):
+    """Rows in an order in which none is later than its neighbours by more than this."""
+    import random
+
+    rng = random.Random(seed)
+    return sorted(rows, key=lambda r: r["timestamp"] + rng.random() * seconds)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_late_rows_within_the_watermark_count(feed, drain, make_events, seed):
+    rows = shuffled_within(random_rows(seed + 20, 250), 500, seed)
+    want = {(r.src_ip, r.query_name): r for r in ops.beaconing_features(make_events(rows), 2).collect()}
+    got = last_per_key(drain(st.beacon_state(feed(rows, 5)), "update"),
+                       ["src_ip", "query_name"], "n_queries")
+    for key, r in want.items():
+        assert got[key].n_queries == r.n_queries
+        assert got[key].mean_interval_sec == pytest.approx(r.mean_interval_sec, rel=1e-9)
+        assert got[key].std_interval_sec == pytest.approx(r.std_interval_sec, rel=1e-7)
+    want = {(r.src_ip,): (r.max_nxdomain_in_window, r.end_us) for r in ops.nxdomain_features(
+        make_events(rows), window_minutes=2, count_threshold=5, min_total=1).collect()}
+    last = {}
+    for r in drain(st.burst_state(feed(rows, 5), 2.0, 5), "update").collect():
+        n, end = last.get((r.src_ip,), (0, 0))
+        if (r.max_nxdomain_in_window, -r.end_us) > (n, -end):
+            last[r.src_ip,] = (r.max_nxdomain_in_window, r.end_us)
+    assert last == want
+
+
+def test_a_batch_of_late_rows_hides_nothing(spark, feed, make_events, tmp_path):
+    rows = in_time_order(scenario_rows())
+    late = [{"timestamp": -80_000, "query_name": "late.com"}]
+    far = [{"timestamp": 10**9, "query_name": "future.com"}]
+    seen = {}
+
+    def deliver(alerts, batch_id):
+        seen[batch_id] = sorted(alerts.drop("alert_id").collect())
+
+    writer = st.detect_on_batches(feed(rows + far + late, len(rows) + 1), str(tmp_path / "store"),
+                                  str(tmp_path / "ck"), deliver, hours=24.0, detectors=["typosquat"])
+    writer.trigger(availableNow=True).start().awaitTermination()
+    want = sorted(union_alerts(make_events(rows), detectors=["typosquat"]).collect())
+    assert want and seen[max(seen)] == want
