@@ -14,6 +14,7 @@ decimals, so reruns agree to the last digit.
 
 Rates become whole copies by carrying the rounding error from one document to the next
 one of like size, inside buckets of a few thousand documents that split large sources.
+What a bucket still misses is made up for by single copies.
 """
 
 from __future__ import annotations
@@ -123,17 +124,29 @@ def solve_tilts(sizes: DataFrame, targets: list, max_copies: float) -> dict[int,
     return tilts | {s: at[0] for s, at in state.items()}
 
 
-def _round_bucket(key, rows):
-    """Copies of the documents of one bucket; the error goes on to the next smaller document."""
-    rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
-    carried, copies = 0.0, []
-    for size, rate in zip(rows["size"].tolist(), rows["rate"].tolist()):
-        whole = math.floor(rate)
-        carried += (rate - whole) * size
-        extra = int(size > 0 and rate > whole and carried >= size / 2)
-        carried -= extra * size
-        copies.append(whole + extra)
-    return rows.assign(copies=copies)[["doc_id", "s", "size", "rate", "copies"]]
+def _rounder(most: int):
+    """Copies, at most `most`, of the documents of one bucket. The rounding error goes on to
+    the next smaller document; what is left at the end is made up for, the largest that fit
+    first, by one copy more or less of a document."""
+
+    def run(key, rows):
+        rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
+        sizes, carried, copies = rows["size"].tolist(), 0.0, []
+        for size, rate in zip(sizes, rows["rate"].tolist()):
+            whole = math.floor(rate)
+            carried += (rate - whole) * size
+            extra = int(size > 0 and rate > whole and carried >= size / 2)
+            carried -= extra * size
+            copies.append(whole + extra)
+        for i, size in enumerate(sizes):
+            if 0 < size < 2 * abs(carried):
+                change = 1 if carried > 0 else -1
+                if 0 <= copies[i] + change <= most:
+                    copies[i] += change
+                    carried -= change * size
+        return rows.assign(copies=copies)[["doc_id", "s", "size", "rate", "copies"]]
+
+    return run
 
 
 def balance_sources(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0),
@@ -177,7 +190,7 @@ def balance_sources(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0),
         .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), buckets))
         .select("doc_id", "s", "size", "rate", "bucket"))
     rounded = rated.groupBy("s", "bucket").applyInPandas(
-        _round_bucket, "doc_id bigint, s int, size bigint, rate double, copies int")
+        _rounder(math.floor(max_copies)), "doc_id bigint, s int, size bigint, rate double, copies int")
     return (rounded.join(solved.select("s", "_source", "source_size", "target"), "s")
             .select("doc_id", F.col("_source").alias("source"), "size", "source_size", "target",
                     "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")))
