@@ -11,7 +11,7 @@ were not yet opened are opened: their neighbours in the graph join the ones met.
 when the best `beam` ones are all opened.
 
 Vectors that are equal count once in the graph (their copies come back in the results), so
-a group of copies of any size is one vector. Building uses half precision; what is met in a
+a group of copies of any size is one vector. Building uses components of one byte; what is met in a
 search is measured in double precision on the original vectors.
 """
 
@@ -27,20 +27,20 @@ from pyspark.sql import functions as F
 
 from nametrail.llm.common import Tables, ship
 
-NEIGHBOURS = 24
+NEIGHBOURS = 32
 #: Vectors of which a vector is a neighbour that take part in its comparisons, at most.
-REVERSE = 16
+REVERSE = 24
 TREES = 8
 LEAF_ROWS = 192
 LEAF_MOST = 384
 #: Neighbours that a leaf, and a comparison among neighbours, reports for each vector.
 LEAF_REPORTS = 8
-JOIN_REPORTS = 3
+JOIN_REPORTS = 5
 MAX_ROUNDS = 8
 #: The build ends when the similarities gain less than this share.
-LEAST_GAIN = 0.002
-BEAM = 96
-OPENED_AT_ONCE = 24
+LEAST_GAIN = 0.001
+BEAM = 200
+OPENED_AT_ONCE = 64
 #: Vectors at which queries begin that are none of the graph's.
 ENTRIES = 32
 
@@ -50,7 +50,7 @@ _VECTOR = "vec_id bigint, full binary, short binary, leaves array<bigint>"
 def prepared(vectors: DataFrame, dims: int, bits: int, trees: int = TREES, id_column: str = "vec_id",
              vector: str = "embedding") -> DataFrame:
     """(vec_id, full, short, leaves) of the vectors that take part: of `dims` finite components,
-    not all zero, with an id. `full` holds doubles, `short` the direction in half precision."""
+    not all zero, with an id. `full` holds doubles, `short` the direction in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = np.random.default_rng(20).standard_normal((dims, trees * bits))
@@ -66,7 +66,9 @@ def prepared(vectors: DataFrame, dims: int, bits: int, trees: int = TREES, id_co
                 yield pa.RecordBatch.from_arrays([
                     part.column("vec_id"),
                     pa.array([x.tobytes() for x in full.astype("<f8")], pa.binary()),
-                    pa.array([x.tobytes() for x in unit.astype("<f2")], pa.binary()),
+                    pa.array([x.tobytes() for x in np.rint(
+                        unit * (127 / np.abs(unit).max(axis=1, keepdims=True))).astype(np.int8)],
+                        pa.binary()),
                     pa.array(list((sides * weights).sum(axis=2)), pa.list_(pa.int64())),
                 ], names=["vec_id", "full", "short", "leaves"])
 
@@ -90,10 +92,14 @@ def _edges(u: np.ndarray, v: np.ndarray, sim: np.ndarray) -> pa.Table:
                      "sim": pa.array(sim.astype(np.float32))})
 
 
+def _units(shorts: list[bytes]) -> np.ndarray:
+    rows = np.frombuffer(b"".join(shorts), np.int8).reshape(len(shorts), -1).astype(np.float32)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
 def _leaf_neighbours(table: pa.Table) -> pa.Table:
     ids = table.column("id").to_numpy()
-    unit = np.frombuffer(b"".join(table.column("short").to_pylist()), "<f2").reshape(
-        len(ids), -1).astype(np.float32)
+    unit = _units(table.column("short").to_pylist())
     sims = unit @ unit.T
     np.fill_diagonal(sims, -np.inf)
     count = min(LEAF_REPORTS, len(ids) - 1)
@@ -123,8 +129,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = lists.flatten()
             ids = flat.field("id").to_numpy()
             worst = flat.field("worst").to_numpy()
-            unit = np.frombuffer(b"".join(flat.field("short").to_pylist()), "<f2").reshape(
-                len(ids), -1).astype(np.float32)
+            unit = _units(flat.field("short").to_pylist())
             n, width, dims = len(sizes), int(sizes.max()), unit.shape[1]
             where = np.arange(width) < sizes[:, None]
             padded, names = np.zeros((n, width, dims), np.float32), np.full((n, width), -1, np.int64)
@@ -173,6 +178,7 @@ def build_graph(vectors: DataFrame, tables: Tables, neighbours: int = NEIGHBOURS
         later = tables.save(_round(graph, vectors, neighbours, number))
         total = later.agg(F.sum("sim")).first()[0]
         tables.drop(graph)
+        tables.release()
         graph = later
         if total - reached <= LEAST_GAIN * abs(total):
             break
