@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that numpy work takes at once; one longer text is taken alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: The separators of `[^\x20\x09-\x0D]+`.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,6 +62,12 @@ class Tables:
         saved._nametrail_path = path
         return saved
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of finished work, which it does when their owners
+        in the driver are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         path = hadoop.Path(df._nametrail_path)
@@ -132,15 +138,18 @@ def seeds(n: int, salt: int = 0) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_BASE) + first) | np.uint64(1)
 
 
-@lru_cache(maxsize=8)
-def _powers(n: int, inverse: bool) -> np.ndarray:
-    base = np.uint64(pow(_BASE, -1, 1 << 64) if inverse else _BASE)
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(np.full(n, base, np.uint64))
+_POWERS: dict[bool, np.ndarray] = {}
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
-    return _powers(1 << max(20, int(n).bit_length()), inverse)[:n]
+    """The first n powers of the base, or of its inverse; the longest array so far is kept."""
+    known = _POWERS.get(inverse)
+    if known is None or len(known) < n:
+        base = np.uint64(pow(_BASE, -1, 1 << 64) if inverse else _BASE)
+        size = 1 << max(20, int(n - 1).bit_length())
+        with np.errstate(over="ignore"):
+            known = _POWERS[inverse] = np.multiply.accumulate(np.full(size, base, np.uint64))
+    return known[:n]
 
 
 def _byte_tables(lower: bool, plain: bool) -> tuple[np.ndarray, np.ndarray]:
