@@ -45,7 +45,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near-duplicates."""
-    return _without(docs, near_duplicates(docs, percent=85).where(~F.col("kept")))
+    return _without(docs, near_duplicates(docs, percent=80).where(~F.col("kept")))
 
 
 def keep_unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
