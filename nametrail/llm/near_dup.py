@@ -145,12 +145,13 @@ def _dealt(rows: DataFrame, block: int) -> DataFrame:
             .drop("other"))
 
 
-def _pairs(signs: np.ndarray, i: int, side: np.ndarray, x: int, y: int, threshold: float
-           ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(signs: np.ndarray, keys: np.ndarray, i: int, side: np.ndarray, x: int, y: int,
+           threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, row, agreement) of the group's candidates that are this group's to compare.
 
     Candidates share a key of the second collection. A pair belongs to the group of the first
-    key of the first collection that it shares, and to the pair of blocks it lies in.
+    key of the first collection (`keys`, which groups are made by) that it shares, and to the
+    pair of blocks it lies in. Sketches of long texts agree by chance too often to tell that.
     """
     n = len(signs)
     bands = np.ascontiguousarray(signs).view("<u8").reshape(n, 2 * TABLES)  # four 16-bit parts each
@@ -163,7 +164,7 @@ def _pairs(signs: np.ndarray, i: int, side: np.ndarray, x: int, y: int, threshol
         same = (bands[rest, TABLES:] == bands[u, TABLES:]).any(axis=1)
         rest = rest[same]
         if i and len(rest):
-            rest = rest[~(bands[rest, :i] == bands[u, :i]).any(axis=1)]
+            rest = rest[~(keys[rest, :i] == keys[u, :i]).any(axis=1)]
         if len(rest):
             alike = (signs[rest] == signs[u]).mean(axis=1)
             kept = alike >= least
@@ -173,17 +174,19 @@ def _pairs(signs: np.ndarray, i: int, side: np.ndarray, x: int, y: int, threshol
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def _signs(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<u2").reshape(len(column), _HASHES)
+def _signs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches and keys of the first collection, a row per row of the table."""
+    sketch, n = table.column("sketch").to_pylist(), table.num_rows
+    return (np.frombuffer(b"".join(sketch), "<u2").reshape(n, _HASHES),
+            table.column("a").combine_chunks().flatten().to_numpy().reshape(n, TABLES))
 
 
 def _keep_similar(threshold: float):
     """Of each dealt group the rows that have a candidate worth a full comparison."""
 
     def run(table: pa.Table) -> pa.Table:
-        signs = _signs(table.column("sketch").to_pylist())
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        u, v, _ = _pairs(signs, table.column("i")[0].as_py(), table.column("side").to_numpy(),
+        u, v, _ = _pairs(*_signs(table), table.column("i")[0].as_py(), table.column("side").to_numpy(),
                          x, y, threshold)
         return table.select(["rep", "i", "key"]).take(pa.array(np.union1d(u, v)))
 
@@ -216,10 +219,9 @@ def _links(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         reps = table.column("rep").to_pylist()
-        signs = _signs(table.column("sketch").to_pylist())
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        u, v, alike = _pairs(signs, table.column("i")[0].as_py(), table.column("side").to_numpy(),
-                             x, y, percent / 100)
+        u, v, alike = _pairs(*_signs(table), table.column("i")[0].as_py(),
+                             table.column("side").to_numpy(), x, y, percent / 100)
         sets = _Sets([np.frombuffer(s, "<u8") for s in table.column("shingles").to_pylist()])
         root = list(range(len(reps)))
 
@@ -283,7 +285,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text",
     exploded = {side: reps.select("rep", F.posexplode(side).alias("i", "key")) for side in "ab"}
     second = _live(exploded["b"]).select("rep").distinct()
     first = _live(exploded["a"]).join(second, "rep", "left_semi")
-    signs = reps.select("rep", "sketch")
+    signs = reps.select("rep", "a", "sketch")
     similar = tables.save(
         _dealt(first.join(signs, "rep"), SKETCH_BLOCK).groupBy("i", "key", "x", "y")
         .applyInArrow(_keep_similar(percent / 100), "rep bigint, i int, key bigint").distinct())

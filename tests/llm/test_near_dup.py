@@ -1,9 +1,12 @@
-"""Near-duplicates at the pipeline's threshold."""
+"""Near-duplicates at the pipeline's threshold, and pairs that groups must not pass over."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 from test_groups import brute_components
 
 import corpus_pipeline
+from nametrail.llm import near_dup
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,3 +18,26 @@ def test_pipeline_stage_links_at_80_percent(spark):
     assert want != {i for i, (_, c) in brute_components(rows, percent=85).items() if i == c}
     stage = dict(corpus_pipeline.STAGES)["near_dedup"]
     assert {r.doc_id for r in stage(spark, docs, SF).collect()} == want
+
+
+def group(signs, keys, i):
+    """A group's table as `_links` and `_keep_similar` take it; all rows have the same set."""
+    n = len(signs)
+    return pa.table({
+        "rep": pa.array(range(n), pa.int64()), "i": pa.array([i] * n, pa.int32()),
+        "key": pa.array([7] * n, pa.int64()), "x": pa.array([0] * n, pa.int32()),
+        "y": pa.array([0] * n, pa.int32()), "side": pa.array([0] * n, pa.int32()),
+        "a": pa.array(list(keys), pa.list_(pa.int64())),
+        "sketch": pa.array([s.astype("<u2").tobytes() for s in signs], pa.binary()),
+        "shingles": pa.array([np.arange(50, dtype="<u8").tobytes()] * n, pa.binary()),
+    })
+
+
+def test_pair_whose_sketches_agree_before_its_first_shared_key():
+    signs = np.zeros((2, near_dup._HASHES), np.uint16)  # as of very long texts
+    keys = np.arange(2 * near_dup.TABLES, dtype=np.int64).reshape(2, -1)
+    keys[:, 3] = keys[:, 5] = 7  # shared from table 3 on
+    for i, found in ((3, 1), (5, 0)):
+        table = group(signs, keys, i)
+        assert near_dup._keep_similar(0.85)(table).num_rows == 2 * found
+        assert near_dup._links(85)(table).num_rows == found
