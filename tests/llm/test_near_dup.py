@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 from test_groups import brute_components
 
 import corpus_pipeline
@@ -41,3 +42,11 @@ def test_pair_whose_sketches_agree_before_its_first_shared_key():
         table = group(signs, keys, i)
         assert near_dup._keep_similar(0.85)(table).num_rows == 2 * found
         assert near_dup._links(85)(table).num_rows == found
+
+
+@pytest.mark.parametrize("percent, agreeing", [(85, 110), (80, 98)])
+def test_pair_whose_sketches_agree_less_than_its_sets(percent, agreeing):
+    signs = np.zeros((2, near_dup._HASHES), np.uint16)
+    signs[1, : near_dup._HASHES - agreeing] = 1
+    keys = np.full((2, near_dup.TABLES), 7, np.int64)
+    assert near_dup._links(percent)(group(signs, keys, 0)).num_rows == 1
