@@ -79,6 +79,12 @@ def _segment_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
         return total[at[1:]] - total[at[:-1]]
 
 
+def _set_hashes(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of each set's 128-bit hash."""
+    with np.errstate(over="ignore"):
+        return tuple(_segment_sums(mix64(grams ^ s), at).view(np.int64) for s in (_SALT, ~_SALT))
+
+
 _FACTORS = (seeds(_HASHES, salt=11) >> np.uint64(31)).astype(np.uint32) | np.uint32(1)
 _SHIFTS = (seeds(_HASHES, salt=13) >> np.uint64(17)).astype(np.uint32)
 
@@ -110,9 +116,8 @@ def sketches(docs: DataFrame) -> DataFrame:
             grams, at = shingles(part.column("text"))
             sizes = np.diff(at)
             full = np.flatnonzero(sizes)
+            first, second = _set_hashes(grams, at)
             with np.errstate(over="ignore"):
-                first, second = (_segment_sums(mix64(grams ^ s), at).view(np.int64)
-                                 for s in (_SALT, ~_SALT))
                 signs = minhashes(grams, at) if len(full) else np.zeros((0, _HASHES), np.uint32)
                 keys = mix64((signs.reshape(len(full), 2 * TABLES, ROWS).astype(np.uint64)
                               * factors).sum(axis=2, dtype=np.uint64)).view(np.int64)
@@ -245,20 +250,23 @@ def _links(percent: int):
     return run
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, shingles) of the documents named in the saved table `ids` (rep)."""
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, shingles) of the sets in the saved table `wanted` (rep, h1, h2, named), each from
+    a document with the id `named` whose set has this hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             grams, at = shingles(part.column("text"))
-            raw = grams.astype("<u8").tobytes()
+            first, second = _set_hashes(grams, at)
+            own = np.flatnonzero((first == part.column("h1").to_numpy())
+                                 & (second == part.column("h2").to_numpy()))
+            raw, at = grams.astype("<u8").tobytes(), at.tolist()
             yield pa.RecordBatch.from_arrays([
-                part.column("doc_id"),
-                pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())],
-                         pa.binary()),
+                part.column("rep").take(pa.array(own)),
+                pa.array([raw[8 * at[k] : 8 * at[k + 1]] for k in own.tolist()], pa.binary()),
             ], names=["rep", "shingles"])
 
-    chosen = docs.join(small(ids), docs["doc_id"] == ids["rep"], "left_semi")
+    chosen = docs.join(small(wanted), docs["doc_id"] == wanted["named"]).select("rep", "h1", "h2", "text")
     return chosen.mapInArrow(run, "rep bigint, shingles binary").dropDuplicates(["rep"])
 
 
@@ -269,9 +277,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text",
     Sets are the distinct five-word shingles of the whole text, A-Z lower-cased. Two
     documents are linked if 100 * intersection >= percent * union. Null and empty texts have
     empty sets and stand alone. A null id stands alone, has no component and is kept.
-    doc_id names a document: rows that repeat one with equal text share all results, and of
-    different texts under one id that of the smallest set hash speaks for the id. Other
-    columns are left out.
+    Rows that repeat a doc_id with equal text share all results; of different texts under
+    one id each is compared, and its row has its own component. Other columns are left out.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -281,9 +288,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text",
     made = tables.save(sketches(chosen))
     whole_set = ["h1", "h2", "n_shingles"]
     usable = made.where("n_shingles > 0 and doc_id is not null")
+    # A set is named by a number of its own (rep), as an id may have several texts.
     reps = tables.save(usable.groupBy(*whole_set).agg(
-        F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b"),
-        F.first("sketch").alias("sketch")))
+        F.min("doc_id").alias("named"), F.first("a").alias("a"), F.first("b").alias("b"),
+        F.first("sketch").alias("sketch")).withColumn("rep", F.monotonically_increasing_id()))
     exploded = {side: reps.select("rep", F.posexplode(side).alias("i", "key")) for side in "ab"}
     second = _live(exploded["b"]).select("rep").distinct()
     first = _live(exploded["a"]).join(second, "rep", "left_semi")
@@ -292,13 +300,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text",
         _dealt(first.join(signs, "rep"), SKETCH_BLOCK).groupBy("i", "key", "x", "y")
         .applyInArrow(_keep_similar(percent / 100), "rep bigint, i int, key bigint").distinct())
     sizes = similar.groupBy("i", "key").agg(F.count("*").alias("n"))
-    compared = tables.save(_sets_of(chosen, tables.save(similar.select("rep").distinct())))
+    wanted = reps.join(similar.select("rep").distinct(), "rep").select("rep", "h1", "h2", "named")
+    compared = tables.save(_sets_of(chosen, tables.save(wanted)))
     links = tables.save(
         _dealt(similar.join(sizes, ["i", "key"]).join(signs, "rep").join(compared, "rep"), SET_BLOCK)
         .groupBy("i", "key", "x", "y").applyInArrow(_links(percent), "u bigint, v bigint"))
     roots = components(links, tables)
-    classes = reps.join(roots, reps["rep"] == roots["node"], "left").select(
-        *whole_set, F.coalesce("root", "rep").alias("root"))
+    members = roots.select("root", F.col("node").alias("rep")).unionByName(
+        roots.select("root", F.col("root").alias("rep")).distinct())
+    members = members.join(reps.select("rep", "named"), "rep")
+    least = members.groupBy("root").agg(F.min("named").alias("least"))
+    classes = reps.select("rep", "named", *whole_set).join(
+        members.select("rep", "root").join(least, "root"), "rep", "left").select(
+        *whole_set, F.coalesce("least", "named").alias("root"))
     usual = F.col("n_shingles") > 0
     return (made.select("doc_id", *whole_set).join(classes, whole_set, "left")
             .select("doc_id", "n_shingles",

@@ -8,6 +8,7 @@ from test_groups import brute_components
 
 import corpus_pipeline
 from nametrail.llm import near_dup
+from nametrail.llm.near_dup import near_duplicates
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,3 +51,16 @@ def test_pair_whose_sketches_agree_less_than_its_sets(percent, agreeing):
     signs[1, : near_dup._HASHES - agreeing] = 1
     keys = np.full((2, near_dup.TABLES), 7, np.int64)
     assert near_dup._links(percent)(group(signs, keys, 0)).num_rows == 1
+
+
+def test_id_with_two_texts_keeps_the_links_of_both(make_docs):
+    texts = [" ".join(f"{name}{k}" for k in range(200)) for name in "abcdef"]
+    ids = [(5, 2, 3), (7, 7, 8), (9, 6, 9)]
+    rows = []
+    for (named, one, two), first, second in zip(ids, texts[::2], texts[1::2]):
+        rows += [(named, first), (named, second), (one, first + " end"), (two, second + " end")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(make_docs(rows)).collect())
+    assert got == [
+        (2, 197, 2, True), (3, 197, 3, True), (5, 196, 2, False), (5, 196, 3, False),
+        (6, 197, 6, True), (7, 196, 7, True), (7, 196, 7, True), (7, 197, 7, True),
+        (8, 197, 7, False), (9, 196, 6, False), (9, 196, 9, True), (9, 197, 9, True)]
