@@ -4,8 +4,9 @@ A seed is a fixed mask over word positions; words under a 0 may be anything. The
 of all seeds of the benchmark items meet those of the documents, every meeting names a
 document, an item and how far they are shifted against each other, and along that shift
 the words are compared: an overlap counts if it spans `min_words` words or more and at
-least `min_same` of them are equal. The two standard masks together meet every stretch
-of 13 words with any 2 replaced, and of 16 words with any 3.
+least `min_same` of them are equal. The three standard masks together meet every stretch
+of 13 words or more, of any length, that begins and ends with equal words and of which 80
+percent are equal (tests/llm/test_decontaminate.py goes through all of them).
 
 The benchmark is taken in blocks of bounded size; each block's hashes go to all executors
 and meet the documents where these are read. Documents are neither shuffled nor joined.
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame
 
 from nametrail.llm.common import chunks, mix64, seeds, ship, word_hashes
 
-#: Masks of six words each; found by search for the cover named above.
-MASKS = ("11101011", "11001000111")
+#: Masks of six and five words; found by search for the cover named above.
+MASKS = ("11101011", "11001000111", "110111")
 MIN_WORDS = 13
 MIN_SAME = 0.8
 #: Words of benchmark items in one block, about.
