@@ -6,6 +6,7 @@
 import math
 import sys
 import time
+from datetime import datetime
 from pathlib import Path
 
 import duckdb
@@ -14,6 +15,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
+#: Time that events of the tests are given relative to.
+START = datetime(2026, 8, 18, 9, 0, 0)
 
 
 def duck(sf_dir):

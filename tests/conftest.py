@@ -8,7 +8,8 @@ from pyspark.sql import SparkSession
 ROOT = Path(__file__).resolve().parent.parent
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
-START = datetime(2026, 8, 18, 9, 0, 0)
+from compare import START  # noqa: E402
+
 DEFAULTS = {
     "timestamp": START, "src_ip": "10.0.0.1", "query_name": "example.com", "query_type": "A",
     "response_code": "NOERROR", "response_ip": "", "ttl": 60,

@@ -5,7 +5,7 @@ import random
 from collections import Counter
 
 import pytest
-from conftest import START
+from compare import START
 
 from nametrail import operators as ops
 from nametrail.operators.nxdomain import nxdomain_features

@@ -4,7 +4,7 @@ import random
 from datetime import timedelta
 
 import pytest
-from conftest import START
+from compare import START
 from pyspark.sql import functions as F
 from test_pipeline import scenario_rows
 from test_skew import random_rows
