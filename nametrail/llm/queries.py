@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nametrail.llm.common import Tables
+from nametrail.llm.common import WORD, Tables
 from corpus_pipeline import KEEP_TAIL, ORACLE_SQL, rated_grade, run
 from nametrail.llm.ann import nearest
 from nametrail.llm.decontaminate import benchmark_overlaps
 from nametrail.llm.lines import drop_common_lines
 from nametrail.llm.mixing import balance_sources
 from nametrail.llm.near_dup import near_duplicates
+from nametrail.llm.periodic import periodic_runs
 from nametrail.llm.quality import fit_grades, grade_documents
 from nametrail.llm.revisits import resolve_revisits
 from nametrail.llm.secrets import BASE_RULES, find_secrets
@@ -172,6 +173,92 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def stretched(docs: DataFrame) -> DataFrame:
+    """doc_id and text; every tenth document by the hash of its id repeats a stretch of its words."""
+    split = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h")).withColumn(
+        "words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    sized = split.withColumn("n", F.size("words")).withColumn("g", F.floor(F.col("h") / 10))
+    begun = sized.withColumn("a", F.when(F.col("n") > 0, F.expr("cast(g % n as int)")))
+    shape = begun.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    repeated = F.expr("array_join(concat(slice(words, 1, a), slice(flatten(array_repeat("
+                      "slice(words, a + 1, p), cast((n - a) div p + 1 as int))), 1, n - a)), ' ')")
+    return shape.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(stretched(_table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("shorter"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    told = found.withColumns({"longest": longest, "lines": F.concat(
+        F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))})
+    length, period = F.col("longest.length"), -F.col("longest.shorter")
+    return told.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("longest.back")).alias("start"),
+        length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+
+
+#: Entries of the table for crc32, and the hash of a list of bytes by it.
+CRC_TABLE = """
+crc_table as (select list(entry order by i) as entries from (
+  select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as entry
+  from (select unnest(range(256)) as i)))"""
+
+
+def crc_sql(octets: str) -> str:
+    return (f"xor(4294967295, list_reduce(list_concat([4294967295], {octets}), "
+            "lambda c, b: xor(c >> 8, entries[1 + (xor(c, b) & 255)])))")
+
+
+DIGITS = "list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint))"
+
+OP13_SQL = f"""
+with {CRC_TABLE},
+hashed as (
+  select doc_id, {crc_sql(DIGITS)} as h,
+    coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as words
+  from documents cross join crc_table),
+shaped as (
+  select *, len(words) as n, h // 10 as g, case when len(words) > 0 then (h // 10) % len(words) end as a
+  from hashed),
+repeated as (
+  select doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(range(n),
+    lambda i: words[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end])
+    else words end as words
+  from shaped),
+placed as (
+  select doc_id, n, unnest(words) as word, unnest(range(n)) as i from repeated),
+equal as (
+  select x.doc_id, y.i - x.i as q, x.i
+  from placed x join placed y on x.doc_id = y.doc_id and x.word = y.word
+    and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+islands as (
+  select doc_id, q, min(i) as s, count(*) + q as length
+  from (select *, i - row_number() over (partition by doc_id, q order by i) as island from equal)
+  group by doc_id, q, island having count(*) + q >= greatest(6, 4 * q)),
+runs as (select doc_id, s, length, min(q) as q from islands group by doc_id, s, length),
+told as (
+  select doc_id, count(*) as n_runs, arg_max(struct_pack(s := s, length := length, q := q),
+      struct_pack(l := length, s := -s, q := -q)) as best,
+    string_agg(s || ',' || length || ',' || q || chr(10), '' order by s, q) as lines
+  from runs group by doc_id),
+gone as (
+  select distinct p.doc_id, p.i from placed p join runs r
+    on p.doc_id = r.doc_id and p.i >= r.s + r.q and p.i < r.s + r.length),
+kept as (
+  select doc_id, string_agg(word, ' ' order by i) as text
+  from placed p anti join gone g using (doc_id, i) group by doc_id)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, best.s as start, best.length as length,
+  best.q as period, 1000 * best.length // best.q as exponent_milli,
+  sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(k.text, '')) as collapsed_sha256
+from documents d left join told t on d.doc_id = t.doc_id left join kept k on d.doc_id = k.doc_id
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
 
@@ -187,6 +274,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_secrets": op9_secrets,
     "op10_source_mix": op10_source_mix,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": pipeline,
 }
-SQL: dict[str, str] = {"op2_revisits": OP2_SQL} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
+SQL: dict[str, str] = {"op2_revisits": OP2_SQL, "op13_periodic_runs": OP13_SQL} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
