@@ -11,6 +11,7 @@ from nametrail.llm.common import WORD, Tables
 from corpus_pipeline import KEEP_TAIL, ORACLE_SQL, rated_grade, run
 from nametrail.llm.ann import nearest
 from nametrail.llm.decontaminate import benchmark_overlaps
+from nametrail.llm.hmm import score_texts
 from nametrail.llm.lines import drop_common_lines
 from nametrail.llm.mixing import balance_sources
 from nametrail.llm.near_dup import near_duplicates
@@ -18,6 +19,7 @@ from nametrail.llm.periodic import periodic_runs
 from nametrail.llm.quality import fit_grades, grade_documents
 from nametrail.llm.revisits import resolve_revisits
 from nametrail.llm.secrets import BASE_RULES, find_secrets
+from nametrail.llm.spelling import spelling_variants
 from nametrail.llm.token_files import read_token_files, write_token_files
 from nametrail.llm.token_prefix import prefix_token_counts
 
@@ -173,6 +175,38 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    return score_texts(_table(spark, sf_dir, "documents"), held_out)
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Least code points of a word; runs of fewer letters make none.
+WORD_LETTERS = 7
+
+
+def letter_words(docs: DataFrame) -> DataFrame:
+    """word, n: runs of letters in lower case; one in 31 by a hash of id and run lacks a letter.
+
+    A null id counts as an empty one. Runs are summed per document first.
+    """
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all(
+        "text", F.lit(f"[A-Za-z\u00c0-\u00ff]{{{WORD_LETTERS},}}"), F.lit(0))).alias("run"))
+    lowered = runs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
+                          F.translate("run", UPPER, LOWER).alias("run"))
+    h = F.crc32(F.concat("id", F.lit(":"), "run"))
+    hashed = lowered.select("run", h.alias("h"), (h % F.length("run")).cast("int").alias("at"))
+    cut = F.concat(F.substring("run", F.lit(1), F.col("at")),
+                   F.substring("run", F.col("at") + 2, F.length("run")))
+    return (hashed.select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")).alias("word"))
+            .where(F.length("word") >= WORD_LETTERS).groupBy("word").agg(F.count("*").alias("n")))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(letter_words(_table(spark, sf_dir, "documents")), ratio=10,
+                             least_length=WORD_LETTERS, least_count=2)
+
+
 def stretched(docs: DataFrame) -> DataFrame:
     """doc_id and text; every tenth document by the hash of its id repeats a stretch of its words."""
     split = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h")).withColumn(
@@ -216,6 +250,45 @@ def crc_sql(octets: str) -> str:
 
 DIGITS = "list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint))"
 
+OP12_SQL = f"""
+with recursive {CRC_TABLE},
+runs as (
+  select doc_id, translate(run, '{UPPER}', '{LOWER}') as run, count(*) as c
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00c0-\u00ff]+')) as run from documents)
+  where length(run) >= 7 group by all),
+hashed as (
+  select run, c, {crc_sql(f"""list_concat({DIGITS}, [58], flatten(list_transform(string_split(run, ''),
+    lambda x: case when unicode(x) < 128 then [cast(unicode(x) as bigint)]
+      else [192 + (cast(unicode(x) as bigint) >> 6), 128 + (cast(unicode(x) as bigint) & 63)] end)))""")} as h
+  from runs cross join crc_table),
+words as (
+  select word, cast(sum(c) as bigint) as n from (
+    select c, case when h % 31 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+      else run end as word from hashed)
+  where length(word) >= 7 group by word having sum(c) >= 2),
+cuts as (
+  select word, i, substr(word, 1, i) || substr(word, i + 2) as rest
+  from (select word, unnest(range(length(word))) as i from words)),
+near as (
+  select a.word, b.word as near from cuts a join cuts b
+    on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select c.word, w.word from cuts c join words w on c.rest = w.word
+  union select w.word, c.word from cuts c join words w on c.rest = w.word),
+best as (
+  select near.word, count(*) as n_near,
+    min(struct_pack(minus := -w.n, near := near.near)) as best
+  from near join words w on near.near = w.word group by near.word),
+told as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near,
+    case when -best.minus >= 10 * w.n then best.near end as form,
+    case when -best.minus >= 10 * w.n then -best.minus end as form_n
+  from words w left join best b on w.word = b.word),
+chain as (
+  select word, word as root from told where form is null
+  union all select t.word, c.root from told t join chain c on t.form = c.word)
+select t.word, t.form, c.root, t.n, t.n_near, t.form_n from told t join chain c on t.word = c.word
+"""
+
 OP13_SQL = f"""
 with {CRC_TABLE},
 hashed as (
@@ -274,7 +347,10 @@ QUERIES: dict[str, Query] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_secrets": op9_secrets,
     "op10_source_mix": op10_source_mix,
+    "op11_language_model": op11_language_model,
+    "op12_spelling": op12_spelling,
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": pipeline,
 }
-SQL: dict[str, str] = {"op2_revisits": OP2_SQL, "op13_periodic_runs": OP13_SQL} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
+SQL: dict[str, str] = {"op2_revisits": OP2_SQL, "op12_spelling": OP12_SQL,
+                       "op13_periodic_runs": OP13_SQL} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
