@@ -84,3 +84,6 @@ MAX_SCORE = 100.0
 # Separator of multi-valued cells, hosts kept per alert.
 LIST_SEPARATOR = ";"
 MAX_HOSTS_PER_ALERT = 5
+
+# Query types that carry free text.
+CARRIER_TYPES = ["TXT", "NULL"]

@@ -21,8 +21,8 @@ def _product(a: str, b: str) -> Column:
 
 
 
-def interval_stats(events: DataFrame, min_queries: int, heavy_min_rows: int,
-                   slice_us: int) -> DataFrame:
+def interval_stats(events: DataFrame, min_queries: int, heavy_min_rows: int, slice_us: int,
+                   names: DataFrame | None = None) -> DataFrame:
     """Count, mean and population deviation of the gaps between queries.
 
     Pairs with too few queries leave by their exact counts before any row is shuffled or
@@ -30,8 +30,9 @@ def interval_stats(events: DataFrame, min_queries: int, heavy_min_rows: int,
     slices are summed per key as whole numbers, so the order of adding cannot matter.
     Queries at one instant are gaps of zero.
     """
-    counts = events.groupBy(*KEY).agg(F.count("*").alias("n_rows")).where(
-        F.col("n_rows") >= min_queries)
+    counted = (events.groupBy(*KEY).agg(F.count("*").alias("n_rows")) if names is None
+               else names.groupBy(*KEY).agg(F.sum("n").alias("n_rows")))
+    counts = counted.where(F.col("n_rows") >= min_queries)
     rows = events.select(*KEY, F.unix_micros("timestamp").alias("us")).join(
         counts.select(*KEY), KEY, "left_semi")
     heavy = heavy_by_count(counts, KEY, "n_rows", heavy_min_rows)
@@ -68,15 +69,15 @@ def interval_stats(events: DataFrame, min_queries: int, heavy_min_rows: int,
 
 
 def beaconing_features(events: DataFrame, min_queries: int = 6, cv_threshold: float = 0.20, *,
-                       heavy_min_rows: int = HEAVY_MIN_ROWS,
-                       slice_us: int = SLICE_US) -> DataFrame:
+                       heavy_min_rows: int = HEAVY_MIN_ROWS, slice_us: int = SLICE_US,
+                       names: DataFrame | None = None) -> DataFrame:
     """Interval metrics and raw score of every pair with a positive mean gap."""
     cv = F.col("coefficient_of_variation")
     score = 100 * (
         REGULARITY_WEIGHT * F.greatest(F.lit(0.0), 1 - cv / cv_threshold)
         + COUNT_WEIGHT * capped(F.col("n_queries"), FULL_COUNT))
     return (
-        interval_stats(events, max(min_queries, 2), heavy_min_rows, slice_us)
+        interval_stats(events, max(min_queries, 2), heavy_min_rows, slice_us, names)
         .withColumn("coefficient_of_variation",
                     F.col("std_interval_sec") / F.col("mean_interval_sec"))
         .withColumn("score", score)
@@ -85,9 +86,10 @@ def beaconing_features(events: DataFrame, min_queries: int = 6, cv_threshold: fl
 
 def detect_beaconing(events: DataFrame, min_queries: int = 6, cv_threshold: float = 0.20,
                      score_threshold: float = 50.0, *, heavy_min_rows: int = HEAVY_MIN_ROWS,
-                     slice_us: int = SLICE_US) -> DataFrame:
+                     slice_us: int = SLICE_US, names: DataFrame | None = None) -> DataFrame:
     flagged = beaconing_features(
         events, min_queries, cv_threshold, heavy_min_rows=heavy_min_rows, slice_us=slice_us,
+        names=names,
     ).where((F.col("coefficient_of_variation") <= cv_threshold)
             & (F.col("score") >= score_threshold))
     return to_alerts(

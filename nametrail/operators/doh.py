@@ -9,21 +9,23 @@ from nametrail.constants import KNOWN_DOH_PROVIDERS
 from nametrail.operators.alerts import joined, to_alerts
 
 
-def doh_features(events: DataFrame, providers: Sequence[str] | DataFrame = KNOWN_DOH_PROVIDERS
-                 ) -> DataFrame:
+def doh_features(events: DataFrame, providers: Sequence[str] | DataFrame = KNOWN_DOH_PROVIDERS, *,
+                 names: DataFrame | None = None) -> DataFrame:
     """Providers asked for, per host.
 
     The match is on the full query name; the registrable domain is what gets
     reported. ``providers``: names, or a DataFrame with a column ``query_name``.
     A list becomes an IN filter that reaches the Parquet scan.
     """
+    rows = events.select("src_ip", "query_name", "registrable_domain", F.lit(1).alias("n"),
+                         F.col("timestamp").alias("last_seen")) if names is None else names
     if isinstance(providers, DataFrame):
-        hits = events.join(providers.select("query_name"), "query_name", "left_semi")
+        hits = rows.join(providers.select("query_name"), "query_name", "left_semi")
     else:
-        hits = events.where(F.col("query_name").isin(list(providers)))
+        hits = rows.where(F.col("query_name").isin(list(providers)))
     return (
         hits.groupBy("src_ip", "registrable_domain")
-        .agg(F.count("*").alias("c"), F.max("timestamp").alias("last_seen"))
+        .agg(F.sum("n").alias("c"), F.max("last_seen").alias("last_seen"))
         .groupBy("src_ip")
         .agg(F.sort_array(F.collect_list("registrable_domain")).alias("providers"),
              F.sum("c").alias("n_queries"), F.max("last_seen").alias("last_seen"))
@@ -31,8 +33,9 @@ def doh_features(events: DataFrame, providers: Sequence[str] | DataFrame = KNOWN
 
 
 def detect_doh_evasion(events: DataFrame, score: float = 55.0, *,
-                       providers: Sequence[str] | DataFrame = KNOWN_DOH_PROVIDERS) -> DataFrame:
-    hosts = doh_features(events, providers).withColumn("score", F.lit(float(score)))
+                       providers: Sequence[str] | DataFrame = KNOWN_DOH_PROVIDERS,
+                       names: DataFrame | None = None) -> DataFrame:
+    hosts = doh_features(events, providers, names=names).withColumn("score", F.lit(float(score)))
     return to_alerts(
         hosts, "doh_evasion",
         domain=joined(F.col("providers")), src_ip=F.col("src_ip"), mitre_id="T1071.004",

@@ -16,19 +16,22 @@ SHORT_TTL, TTL_RANGE = 300, 3600
 FULL_IPS = 10
 
 
-def fast_flux_features(events: DataFrame, min_resolved: int = 8,
-                       min_distinct_ips: int = 4) -> DataFrame:
+def fast_flux_features(events: DataFrame, min_resolved: int = 8, min_distinct_ips: int = 4, *,
+                       answers: DataFrame | None = None) -> DataFrame:
     """Address metrics and raw score of every domain past both gates.
 
     Grouped by (domain, address) first, so a domain with most of the traffic
     arrives as one row per address and map task.
     """
-    by_address = (
-        events.where(resolved())
-        .groupBy("registrable_domain", "response_ip")
-        .agg(F.count("*").alias("c"), F.sum(F.col("ttl").cast("double")).alias("ttl_sum"),
-             F.max("timestamp").alias("last_seen"))
-    )
+    if answers is None:
+        by_address = events.where(resolved()).groupBy("registrable_domain", "response_ip").agg(
+            F.count("*").alias("c"), F.sum(F.col("ttl").cast("double")).alias("ttl_sum"),
+            F.max("timestamp").alias("last_seen"))
+    else:
+        by_address = answers.where(F.col("response_ip").isNotNull()).groupBy(
+            "registrable_domain", "response_ip").agg(
+            F.sum("c").alias("c"), F.sum("ttl_sum").alias("ttl_sum"),
+            F.max("last_seen").alias("last_seen"))
     ttl = F.col("avg_ttl")
     ttl_score = F.when(ttl <= SHORT_TTL, 1.0).otherwise(
         F.greatest(F.lit(0.0), 1 - (ttl - SHORT_TTL) / TTL_RANGE))
@@ -50,8 +53,9 @@ def fast_flux_features(events: DataFrame, min_resolved: int = 8,
 
 def detect_fast_flux(events: DataFrame, min_resolved: int = 8, min_distinct_ips: int = 4,
                      score_threshold: float = 45.0, *, max_hosts: int = MAX_HOSTS_PER_ALERT,
-                     pairs: DataFrame | None = None) -> DataFrame:
-    flagged = fast_flux_features(events, min_resolved, min_distinct_ips).where(
+                     pairs: DataFrame | None = None,
+                     answers: DataFrame | None = None) -> DataFrame:
+    flagged = fast_flux_features(events, min_resolved, min_distinct_ips, answers=answers).where(
         F.col("score") >= score_threshold)
     return to_alerts(
         with_hosts(flagged, events, pairs, max_hosts, "n_resolved"), "fast_flux",

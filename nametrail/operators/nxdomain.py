@@ -12,7 +12,8 @@ BURST_WEIGHT, RATIO_WEIGHT = 0.6, 0.4
 SAMPLE_NAMES = 3
 
 SLICE_US = 60_000_000
-NAME_SALTS = 16
+#: Failures of one host and window width that one task joins with the host's window.
+SPLIT_ROWS = 1_000_000
 
 
 def _window_us(window_minutes: float) -> int:
@@ -66,20 +67,21 @@ def largest_windows(failed: DataFrame, heavy: DataFrame, window_us: int, min_cou
     )
 
 
-def _failures(events: DataFrame) -> DataFrame:
-    return events.where(F.col("response_code") == "NXDOMAIN").select(
-        "src_ip", "query_name", F.unix_micros("timestamp").alias("us"))
+def host_failures(events: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """``src_ip, host_total, total_nxdomain_events``."""
+    return host_totals(events, pairs).select(
+        "src_ip", F.col("n_queries").alias("host_total"),
+        F.col("n_nx").alias("total_nxdomain_events"))
 
 
-def host_bursts(events: DataFrame, hosts: DataFrame, window_minutes: float, count_threshold: int,
-                heavy_min_rows: int, slice_us: int) -> DataFrame:
-    """Bursts of the hosts whose failures reach the threshold at all; the others' failures
-    are neither shuffled nor sorted."""
-    able = hosts.where(F.col("total_nxdomain_events") >= count_threshold)
-    heavy = heavy_by_count(able, ["src_ip"], "total_nxdomain_events", heavy_min_rows)
-    failed = _failures(events).join(able.select("src_ip"), "src_ip", "left_semi")
-    return largest_windows(
-        failed, heavy, _window_us(window_minutes), count_threshold, slice_us)
+def able_failures(events: DataFrame, hosts: DataFrame, count_threshold: int = 20,
+                  min_total: int = 10) -> DataFrame:
+    """``src_ip, query_name, us``: failures of the hosts that have enough of them for a burst at
+    all; the others' are neither shuffled nor sorted. Bursts and their names both start here."""
+    able = hosts.where(F.col("total_nxdomain_events") >= max(count_threshold, min_total))
+    return events.where(F.col("response_code") == "NXDOMAIN").select(
+        "src_ip", "query_name", F.unix_micros("timestamp").alias("us")).join(
+        able.select("src_ip"), "src_ip", "left_semi")
 
 
 def _scored(bursts: DataFrame, hosts: DataFrame, count_threshold: int,
@@ -99,42 +101,48 @@ def _scored(bursts: DataFrame, hosts: DataFrame, count_threshold: int,
 
 def nxdomain_features(events: DataFrame, window_minutes: float = 5.0, count_threshold: int = 20,
                       min_total: int = 10, *, pairs: DataFrame | None = None,
-                      heavy_min_rows: int = HEAVY_MIN_ROWS,
-                      slice_us: int = SLICE_US) -> DataFrame:
+                      heavy_min_rows: int = HEAVY_MIN_ROWS, slice_us: int = SLICE_US,
+                      failures: DataFrame | None = None) -> DataFrame:
     """Burst size, window end, sample names, failure ratio and raw score per flagged host."""
-    hosts = host_totals(events, pairs).select(
-        "src_ip", F.col("n_queries").alias("host_total"),
-        F.col("n_nx").alias("total_nxdomain_events"))
-    bursts = host_bursts(
-        events, hosts.where(F.col("total_nxdomain_events") >= min_total), window_minutes,
-        count_threshold, heavy_min_rows, slice_us)
+    hosts = host_failures(events, pairs)
+    if failures is None:
+        failures = able_failures(events, hosts, count_threshold, min_total)
+    heavy = heavy_by_count(hosts, ["src_ip"], "total_nxdomain_events", heavy_min_rows)
+    bursts = largest_windows(failures, heavy, _window_us(window_minutes), count_threshold, slice_us)
     return _scored(bursts, hosts, count_threshold, min_total).join(
-        burst_names(events, bursts, window_minutes), "src_ip")
+        burst_names(failures, bursts, window_minutes), "src_ip")
 
 
-def burst_names(events: DataFrame, bursts: DataFrame, window_minutes: float) -> DataFrame:
+def burst_names(failures: DataFrame, bursts: DataFrame, window_minutes: float,
+                split_rows: int = SPLIT_ROWS) -> DataFrame:
     """``src_ip, names``: the names that failed most inside each burst window.
 
-    An interval join as an equi-join: a window touches two time buckets of its
-    own width, and the salt (a hash of the row) spreads a window that holds very
-    many rows. Names rank by count, then first failure, then text.
+    An interval join as an equi-join on bins: a window touches two time buckets of its own
+    width. Buckets that hold over ``split_rows`` failures of a host are cut into as many bins
+    of about that size by a hash of the row. Such buckets are counted first and broadcast: at
+    most (failures / split_rows) rows. Names rank by count, then first failure, then text.
     """
     width = _window_us(window_minutes)
-    salt = F.pmod(F.xxhash64("us", "query_name"), F.lit(NAME_SALTS))
-    failed = _failures(events).withColumn("bucket", F.expr(f"us div {width}")).withColumn(
-        "salt", salt)
+    merged = failures.groupBy("src_ip", "query_name", "us").agg(F.count("*").alias("copies"))
+    failed = merged.withColumn("bucket", F.expr(f"us div {width}"))
+    sizes = failed.groupBy("src_ip", "bucket").agg(F.count("*").alias("rows")).where(
+        F.col("rows") > split_rows)
+    large = F.broadcast(sizes.select(
+        "src_ip", "bucket", F.ceil(F.col("rows") / split_rows).cast("bigint").alias("bins")))
+    bins = F.coalesce("bins", F.lit(1).cast("bigint"))
     bucket = F.expr(f"end_us div {width}")
     spans = (
         bursts.select("src_ip", "end_us", F.explode(F.array(bucket - 1, bucket)).alias("bucket"))
-        .withColumn("salt", F.explode(F.array([F.lit(i).cast("bigint")
-                                               for i in range(NAME_SALTS)])))
-    )
+        .join(large, ["src_ip", "bucket"], "left")
+        .withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), bins - 1))).drop("bins"))
+    binned = failed.join(large, ["src_ip", "bucket"], "left").withColumn(
+        "bin", F.pmod(F.xxhash64("us", "query_name"), bins)).drop("bins")
     rank = Window.partitionBy("src_ip").orderBy(F.desc("n"), "first_us", "query_name")
     return (
-        failed.join(spans, ["src_ip", "bucket", "salt"])
+        binned.join(spans, ["src_ip", "bucket", "bin"])
         .where(F.col("us").between(F.col("end_us") - width, F.col("end_us")))
         .groupBy("src_ip", "query_name")
-        .agg(F.count("*").alias("n"), F.min("us").alias("first_us"))
+        .agg(F.sum("copies").alias("n"), F.min("us").alias("first_us"))
         .withColumn("rank", F.row_number().over(rank))
         .where(F.col("rank") <= SAMPLE_NAMES)
         .groupBy("src_ip")
@@ -146,11 +154,11 @@ def burst_names(events: DataFrame, bursts: DataFrame, window_minutes: float) ->
 def detect_nxdomain_spike(events: DataFrame, window_minutes: float = 5.0,
                           count_threshold: int = 20, min_total: int = 10, *,
                           pairs: DataFrame | None = None,
-                          heavy_min_rows: int = HEAVY_MIN_ROWS,
-                          slice_us: int = SLICE_US) -> DataFrame:
+                          heavy_min_rows: int = HEAVY_MIN_ROWS, slice_us: int = SLICE_US,
+                          failures: DataFrame | None = None) -> DataFrame:
     flagged = nxdomain_features(
         events, window_minutes, count_threshold, min_total, pairs=pairs,
-        heavy_min_rows=heavy_min_rows, slice_us=slice_us)
+        heavy_min_rows=heavy_min_rows, slice_us=slice_us, failures=failures)
     return to_alerts(
         flagged, "nxdomain_spike",
         domain=joined(F.col("names")), src_ip=F.col("src_ip"), mitre_id="T1590.002",

@@ -1,9 +1,15 @@
-"""Shared (host, domain) rollup and what is derived from it."""
+"""Shared rollups and what is derived from them.
+
+The finest one is ``name_rollup`` by (host, name); ``pair_rollup`` by (host, domain), and from
+it the totals per domain and per host, follow without another look at the events.
+``answer_rollup`` does the same for addresses and ages. ``run_all_detectors`` keeps both, so
+that all detectors together read the log four times.
+"""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nametrail.constants import LIST_SEPARATOR, MAX_HOSTS_PER_ALERT
+from nametrail.constants import CARRIER_TYPES, LIST_SEPARATOR, MAX_HOSTS_PER_ALERT
 
 
 def resolved() -> Column:
@@ -16,6 +22,46 @@ def aged() -> Column:
     return F.col("first_registered_days_ago").isNotNull()
 
 
+def name_rollup(events: DataFrame) -> DataFrame:
+    """One row per (src_ip, query_name), with the columns that follow from the name.
+
+    All buffers are numbers and times: a hash aggregation with map-side combine.
+    """
+    return events.groupBy(
+        "src_ip", "query_name", "registrable_domain", "subdomain", "subdomain_label_count").agg(
+        F.count("*").alias("n"),
+        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
+        F.count_if(F.col("response_code") == "NXDOMAIN").alias("n_nx"),
+        F.count_if(resolved()).alias("n_resolved"),
+        F.count_if(aged()).alias("n_aged") if "first_registered_days_ago" in events.columns
+        else F.lit(0).cast("bigint").alias("n_aged"),
+        F.count_if(F.col("query_type").isin(CARRIER_TYPES)).alias("n_carriers"))
+
+
+def pairs_of_names(names: DataFrame) -> DataFrame:
+    """The rows of ``pair_rollup``, from those of ``name_rollup``."""
+    return names.groupBy("src_ip", "registrable_domain").agg(
+        F.sum("n").alias("n"), F.max("last_seen").alias("last_seen"),
+        *(F.sum(c).alias(c) for c in ("n_nx", "n_resolved", "n_aged")))
+
+
+def answer_rollup(events: DataFrame) -> DataFrame:
+    """One row per (registrable_domain, response_ip, first_registered_days_ago).
+
+    The address is null where the query got none. Ages hardly vary inside a domain, so there
+    are about as many rows as different answers.
+    """
+    known = "first_registered_days_ago" in events.columns
+    age = F.col("first_registered_days_ago") if known else F.lit(None).cast("double")
+    return (
+        events.select("registrable_domain", F.when(resolved(), F.col("response_ip")).alias("response_ip"),
+                      age.alias("first_registered_days_ago"), "timestamp", "ttl")
+        .where(F.col("response_ip").isNotNull() | F.col("first_registered_days_ago").isNotNull())
+        .groupBy("registrable_domain", "response_ip", "first_registered_days_ago")
+        .agg(F.count("*").alias("c"), F.sum(F.col("ttl").cast("double")).alias("ttl_sum"),
+             F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen")))
+
+
 def pair_rollup(events: DataFrame) -> DataFrame:
     """One row per (src_ip, registrable_domain).
 

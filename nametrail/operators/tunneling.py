@@ -3,15 +3,15 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nametrail.constants import CARRIER_TYPES
 from nametrail.functions.scoring import capped
 from nametrail.functions.text import shannon_entropy
 from nametrail.operators.alerts import percent, to_alerts
 from nametrail.operators.rollup import after_grouping
 
-# Feature weights, the values that count as full, carrier types.
+# Feature weights, the values that count as full.
 LENGTH_WEIGHT, TYPE_WEIGHT, RATE_WEIGHT, UNIQUE_WEIGHT, ENTROPY_WEIGHT = 0.25, 0.2, 0.2, 0.2, 0.15
 FULL_LENGTH, FULL_RATE, FULL_ENTROPY = 50, 10, 4.5
-CARRIER_TYPES = ["TXT", "NULL"]
 SHORTEST_MINUTES = 1 / 60
 
 
@@ -30,19 +30,27 @@ def duration_minutes() -> Column:
     return F.greatest(span, F.lit(SHORTEST_MINUTES))
 
 
-def tunneling_features(events: DataFrame, min_queries: int = 20) -> DataFrame:
+def tunneling_features(events: DataFrame, min_queries: int = 20, *,
+                       names: DataFrame | None = None) -> DataFrame:
     """Metrics and raw score of every pair with at least ``min_queries`` queries.
 
     First grouped by distinct subdomain: that spreads a busy pair over many
     tasks, counts the distinct names, and lets the entropy be computed once per
     name (weighted by its count) instead of once per query.
     """
+    longer = F.col("subdomain_label_count") > 0
+    key = ["src_ip", "registrable_domain", "subdomain"]
+    if names is None:
+        counted = events.where(longer).groupBy(*key).agg(
+            F.count("*").alias("c"),
+            F.count_if(F.col("query_type").isin(CARRIER_TYPES)).alias("carriers"),
+            F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
+    else:
+        counted = names.where(longer).groupBy(*key).agg(
+            F.sum("n").alias("c"), F.sum("n_carriers").alias("carriers"),
+            F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
     names = (
-        events.where(F.col("subdomain_label_count") > 0)
-        .groupBy("src_ip", "registrable_domain", "subdomain")
-        .agg(F.count("*").alias("c"),
-             F.count_if(F.col("query_type").isin(CARRIER_TYPES)).alias("carriers"),
-             F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
+        counted
         .withColumn("packed", F.replace("subdomain", F.lit("."), F.lit("")))
         .withColumn("entropy", after_grouping(shannon_entropy("packed"), "c"))
     )
@@ -67,9 +75,10 @@ def tunneling_features(events: DataFrame, min_queries: int = 20) -> DataFrame:
     )
 
 
-def detect_tunneling(events: DataFrame, min_queries: int = 20,
-                     score_threshold: float = 45.0) -> DataFrame:
-    flagged = tunneling_features(events, min_queries).where(F.col("score") >= score_threshold)
+def detect_tunneling(events: DataFrame, min_queries: int = 20, score_threshold: float = 45.0, *,
+                     names: DataFrame | None = None) -> DataFrame:
+    flagged = tunneling_features(events, min_queries, names=names).where(
+        F.col("score") >= score_threshold)
     return to_alerts(
         flagged, "tunneling",
         domain=F.col("registrable_domain"), src_ip=F.col("src_ip"), mitre_id="T1071.004",

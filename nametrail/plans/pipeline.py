@@ -1,6 +1,7 @@
 """Run detectors over one event table and number the alerts."""
 
 from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass
 from functools import reduce
 from inspect import signature
 
@@ -21,6 +22,8 @@ from nametrail.operators import (
     pair_rollup,
 )
 from nametrail.operators.alerts import empty_alerts
+from nametrail.operators.nxdomain import able_failures, host_failures
+from nametrail.operators.rollup import answer_rollup, name_rollup, pairs_of_names
 from nametrail.plans.lineage import materialized
 from nametrail.schema import ALERT_COLUMNS
 
@@ -49,21 +52,50 @@ def alert_order() -> list[Column]:
             F.asc("src_ip"), F.asc("timestamp")]
 
 
+@dataclass(frozen=True)
+class Rollups:
+    """What detectors share; each field goes to the detectors with a parameter of its name."""
+
+    pairs: DataFrame
+    names: DataFrame | None = None
+    answers: DataFrame | None = None
+    failures: DataFrame | None = None
+
+    @classmethod
+    def kept(cls, events: DataFrame, params: Mapping[str, dict]) -> "Rollups":
+        """All of them, kept while they are used. Each but ``pairs`` reads the events once."""
+        names = name_rollup(events).persist(StorageLevel.MEMORY_AND_DISK)
+        pairs = pairs_of_names(names).persist(StorageLevel.MEMORY_AND_DISK)
+        burst = params.get("nxdomain_spike", {})
+        limits = {k: burst[k] for k in ("count_threshold", "min_total") if k in burst}
+        failures = able_failures(events, host_failures(events, pairs), **limits)
+        return cls(pairs, names, answer_rollup(events).persist(StorageLevel.MEMORY_AND_DISK),
+                   failures.persist(StorageLevel.MEMORY_AND_DISK))
+
+    def of(self, func: Callable) -> dict[str, DataFrame]:
+        return {k: v for k, v in vars(self).items()
+                if v is not None and k in signature(func).parameters}
+
+    def unpersist(self) -> None:
+        for df in vars(self).values():
+            if df is not None:
+                df.unpersist()
+
+
 def union_alerts(events: DataFrame, params: Mapping[str, dict] | None = None,
                  detectors: Iterable[str] | None = None,
-                 pairs: DataFrame | None = None) -> DataFrame:
+                 rollups: Rollups | None = None) -> DataFrame:
     """Alerts of all detectors without ids, as one lazy plan.
 
-    ``params`` holds keyword arguments per detector name. ``pairs`` is the shared
-    (host, domain) rollup; detectors that accept it do not rescan the events.
+    ``params`` holds keyword arguments per detector name. Detectors that accept one of the
+    ``rollups`` do not rescan the events for it; without any, they share the (host, domain) one.
     """
     params = params or {}
-    pairs = pair_rollup(events) if pairs is None else pairs
+    rollups = Rollups(pair_rollup(events)) if rollups is None else rollups
     branches = []
     for name in DETECTOR_FUNCS if detectors is None else detectors:
         func = DETECTOR_FUNCS[name]
-        shared = {"pairs": pairs} if "pairs" in signature(func).parameters else {}
-        branches.append(func(events, **shared, **params.get(name, {})))
+        branches.append(func(events, **{**rollups.of(func), **params.get(name, {})}))
     if not branches:
         return empty_alerts(events.sparkSession).drop("alert_id")
     return reduce(DataFrame.unionByName, branches)
@@ -97,14 +129,16 @@ def run_all_detectors(events: DataFrame, params: Mapping[str, dict] | None = Non
                       detectors: Iterable[str] | None = None) -> DataFrame:
     """All alerts, highest severity first, with sequential ids.
 
-    Runs at once: the rollup and the found alerts are kept while the ids are
+    Runs at once: the rollups and the found alerts are kept while the ids are
     given, and the numbered table is checkpointed, so later queries read it
-    instead of repeating detection.
+    instead of repeating detection. All detectors together read the events four
+    times: for names, for answers, for the instants of pairs with enough queries
+    and for the failures of hosts with enough of them.
     """
-    pairs = pair_rollup(events).persist(StorageLevel.MEMORY_AND_DISK)
-    found = union_alerts(events, params, detectors, pairs).persist(StorageLevel.MEMORY_AND_DISK)
+    rollups = Rollups.kept(events, params or {})
+    found = union_alerts(events, params, detectors, rollups).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return number_alerts(found)
     finally:
         found.unpersist()
-        pairs.unpersist()
+        rollups.unpersist()

@@ -10,11 +10,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nametrail.constants import BRAND_WATCHLIST, KNOWN_DOH_PROVIDERS
+from nametrail.constants import BRAND_WATCHLIST, CARRIER_TYPES, KNOWN_DOH_PROVIDERS
 from nametrail.functions.text import shannon_entropy
 from nametrail.operators.alerts import share
 from nametrail.operators.dga import long_label, score_labels
-from nametrail.operators.tunneling import CARRIER_TYPES, duration_minutes, tunneling_score
+from nametrail.operators.tunneling import duration_minutes, tunneling_score
 from nametrail.operators.typosquat import MIN_DOMAIN_LEN, nearest_listed_brand
 from nametrail.plans.pipeline import run_all_detectors
 from nametrail.schema import EVENT_SCHEMA

@@ -113,3 +113,32 @@ def test_many_alerts_are_numbered_without_gaps(spark):
             c, F.lit("x")).alias(c) for c in UNNUMBERED])
     rows = number_alerts(many).orderBy(*alert_order()).select("alert_id").collect()
     assert [r.alert_id for r in rows] == [f"ALT-{i + 1:04d}" for i in range(25_000)]
+
+
+@pytest.fixture()
+def counted(spark):
+    """Events that count how often each of their rows is read."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def build(events):
+        def run(batches):
+            for batch in batches:
+                reads.add(batch.num_rows)
+                yield batch
+        return events.mapInArrow(run, events.schema)
+
+    return reads, build
+
+
+def test_all_detectors_read_the_log_four_times(events, alerts, counted):
+    reads, build = counted
+    assert sorted(run_all_detectors(build(events)).collect()) == sorted(alerts.collect())
+    assert reads.value == 4 * events.count()
+
+
+def test_rollups_follow_from_each_other(events):
+    from nametrail.operators.rollup import name_rollup, pair_rollup, pairs_of_names
+
+    pairs = pair_rollup(events)
+    again = pairs_of_names(name_rollup(events)).select(*pairs.columns)
+    assert sorted(again.collect()) == sorted(pairs.collect())

@@ -128,3 +128,18 @@ def test_host_lists_are_bounded_and_sorted(make_events):
     want = sorted(f"10.0.0.{i}" for i in range(30))
     assert bounded_hosts(pairs).first().hosts == ";".join(want[:5])
     assert bounded_hosts(pairs, 100).first().hosts == ";".join(want)
+
+
+@pytest.mark.parametrize("split_rows", [1, 7, 10**6])
+def test_names_of_one_window_with_most_rows(make_events, split_rows):
+    from nametrail.operators import nxdomain
+
+    rows = [{"src_ip": "10.0.0.1", "query_name": f"n{i % 7}.x.com", "response_code": "NXDOMAIN",
+             "timestamp": i % 50} for i in range(400)]
+    rows += [{**r, "src_ip": "10.0.0.2"} for r in rows[:30]]
+    events = make_events(rows)
+    failures = nxdomain.able_failures(events, nxdomain.host_failures(events, None), 6, 1)
+    found = nxdomain_features(events, window_minutes=1, count_threshold=6, min_total=1).select(
+        "src_ip", "end_us")
+    got = {r.src_ip: r.names for r in nxdomain.burst_names(failures, found, 1, split_rows).collect()}
+    assert got == {h: names for h, (_, _, names) in bursts(rows, 60 * US, 6).items()}

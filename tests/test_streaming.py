@@ -19,6 +19,14 @@ from nametrail.sources import ZeekHeader, load_log
 ZEEK_FIELDS = ("ts", "uid", "id.orig_h", "query", "qtype_name", "rcode_name", "answers", "TTLs")
 
 
+@pytest.fixture(autouse=True, scope="module")
+def state_store(spark):
+    before = spark.conf.get(st.stateful.STORE)
+    st.use_state_store(spark)
+    yield
+    spark.conf.set(st.stateful.STORE, before)
+
+
 @pytest.fixture()
 def drain(spark, tmp_path):
     def run(df, mode="append"):
@@ -197,3 +205,117 @@ def test_a_batch_of_late_rows_hides_nothing(spark, feed, make_events, tmp_path):
     writer.trigger(availableNow=True).start().awaitTermination()
     want = sorted(union_alerts(make_events(rows), detectors=["typosquat"]).collect())
     assert want and seen[max(seen)] == want
+
+
+class Handle:
+    """State of one key in dictionaries that count what is loaded."""
+
+    def __init__(self):
+        self.values, self.maps, self.timers, self.loaded = {}, {}, [], 0
+
+    def getValueState(self, name, schema):
+        return Value(self.values, name)
+
+    def getMapState(self, name, key, schema):
+        return Map(self, self.maps.setdefault(name, {}), name)
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+class Value:
+    def __init__(self, values, name):
+        self.values, self.name = values, name
+
+    def exists(self):
+        return self.name in self.values
+
+    def get(self):
+        return self.values[self.name]
+
+    def update(self, row):
+        self.values[self.name] = row
+
+    def clear(self):
+        self.values.pop(self.name, None)
+
+
+class Map:
+    def __init__(self, handle, entries, name):
+        self.handle, self.entries, self.name = handle, entries, name
+
+    def containsKey(self, key):
+        return key in self.entries
+
+    def getValue(self, key):
+        if self.name == "instants":
+            self.handle.loaded += len(self.entries[key][0])
+        return self.entries[key]
+
+    def updateValue(self, key, row):
+        self.entries[key] = row
+
+    def removeKey(self, key):
+        self.entries.pop(key, None)
+
+    def iterator(self):
+        return iter(list(self.entries.items()))
+
+    def clear(self):
+        self.entries.clear()
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    def getExpiryTimeInMs(self):
+        return self.ms
+
+
+def feed_key(processor, us, watermark_ms):
+    import pandas as pd
+
+    return [tuple(r) for out in processor.handleInputRows(
+        ("host", "name")[: 2 if isinstance(processor, st.stateful.BeaconState) else 1],
+        iter([pd.DataFrame({"us": us})]), Clock(watermark_ms)) for r in out.to_numpy().tolist()]
+
+
+def test_a_key_with_a_million_instants_loads_single_slices():
+    import numpy as np
+
+    beacon, burst = st.stateful.BeaconState(10**7, 24), st.stateful.BurstState(3 * 10**8, 20, 10**7, 24)
+    for processor in (beacon, burst):
+        handle = Handle()
+        processor.init(handle)
+        many = np.arange(10**6) * 600 + 10**12  # 10 minutes
+        feed_key(processor, many, 0)
+        assert handle.loaded == 0 or processor is burst
+        handle.loaded = 0
+        (row,) = feed_key(processor, np.array([10**12 + 6 * 10**8]), 0)
+        if processor is beacon:
+            assert handle.loaded == 0 and row[2] == 10**6 + 1
+        else:
+            assert row[1] == 500_001  # the last window is no larger, so none of it is loaded
+            assert handle.loaded <= 32 * 16_667
+        assert len(handle.maps["instants"]) == 61
+
+
+def test_state_is_bounded_and_ends():
+    import numpy as np
+
+    for processor in (st.stateful.BeaconState(10**7, 1), st.stateful.BurstState(6 * 10**7, 2, 10**7, 1)):
+        handle = Handle()
+        processor.init(handle)
+        for minute in range(60):
+            us = minute * 6 * 10**7 + np.arange(0, 6 * 10**7, 10**6)
+            feed_key(processor, us, max(0, minute - 10) * 60_000)
+            assert len(handle.maps["sums"]) <= 6 * 12 + 1
+        assert len(handle.timers) == 1
+        assert list(processor.handleExpiredTimer(("h",), None, Clock(handle.timers[0]))) == []
+        assert len(handle.timers) == 2 and handle.values
+        list(processor.handleExpiredTimer(("h",), None, Clock(handle.timers[1])))
+        assert not handle.values and not handle.maps["sums"] and not handle.maps["instants"]
