@@ -337,8 +337,8 @@ def _prepared(docs: DataFrame, corpus: Corpus) -> DataFrame:
                     pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
                     pa.array(symbols.astype(np.int32))),
                 pa.array(np.bincount(owner[hit], minlength=n).astype(np.int64) + (n_docs > 0)),
-                pa.array(np.bincount(owner[hit], np.log10(c + 1.0), n) + log10(n_docs + 1)),
-                pa.array(np.bincount(owner[hit], share, n)),
+                pa.array(np.bincount(owner[hit], np.log10(c + 1.0), n) + log10(n_docs + 1), pa.float64()),
+                pa.array(np.bincount(owner[hit], share, n), pa.float64()),
                 pa.ListArray.from_arrays(
                     pa.array(np.searchsorted(owner[left], np.arange(n + 1)).astype(np.int32)), rare),
             ], names=["doc_id", "held_out", "symbols", "known", "plain", "words", "rare"])

@@ -148,7 +148,8 @@ def _seeds(words: _Words, block: int, low: int, high: int, covered: np.ndarray
     at = at[covered[at] < at + block + high]
     values = np.concatenate([words.values[:n], np.zeros(3 * size + high, np.int64)])
     squares = np.concatenate([words.squares[: n + 1], np.full(3 * size + high, words.squares[n])])
-    found_at, found = [], []
+    found_at: list[np.ndarray] = []
+    found: list[np.ndarray] = []
     step = max(1, SLICE // (2 * size))
     for k in range(0, len(at), step):
         mine = at[k : k + step]
@@ -191,7 +192,7 @@ def runs_of(ids: np.ndarray, sizes: np.ndarray, least_length: int = 6, least_exp
     words = _Words(ids, sizes)
     known: dict[tuple[int, int], int] = {}
     reach = np.zeros(len(ids), np.int64)
-    block, spread = 2, least_exponent - 1
+    block, spread = 1, least_exponent - 1
     while True:
         low, high = -(-(2 * block - 1) // spread), -(-(4 * block - 1) // spread) - 1
         n_texts = int(np.searchsorted(-sizes, -max(least_length, low * least_exponent), "right"))

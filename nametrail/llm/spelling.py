@@ -14,6 +14,9 @@ one must be equal as well; for that the probing word assumes each of the three l
 its partner may have. Keys are 64-bit hashes of those parts. What meets on a key is compared
 by letter sets and then by edit distance, inside the join; pairs found twice count once.
 
+Words of `HALVED` code points or more share a half with a near word; their halves are the keys,
+as the bigrams of such words (runs of one letter, say) are often tied.
+
 Every word is indexed, no list is cut. A key that many words share costs comparisons, which
 a skewed join spreads over tasks, but makes no rows.
 """
@@ -26,7 +29,7 @@ from math import ceil, log, log2
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nametrail.llm.common import Tables, mix64, ship
@@ -35,8 +38,8 @@ from nametrail.llm.common import Tables, mix64, ship
 BUCKETS = 1 << 16
 #: Code points of a shared part that are a key by themselves.
 LONG_SIDE = 6
-#: Shortest words that have two bigrams apart.
-SHORTEST = 4
+#: Shortest words that have two bigrams apart, and of those that are matched by halves.
+SHORTEST, HALVED = 4, 64
 
 
 def _buckets(points: np.ndarray) -> np.ndarray:
@@ -115,15 +118,28 @@ def _after_keys(word: str, i: int, length: int) -> list[str]:
     return [f"s{length}:{word[:half]}\n{word[i:]}", f"t{length}:{word[max(0, len(word) - tail) :]}"]
 
 
+def _half_keys(word: str, length: int) -> list[str]:
+    """Keys of a long word, or of its partner of that length, by its first or second half."""
+    half = length // 2
+    return [f"x{length}:{word[:half]}", f"y{length}:{word[len(word) - (length - half) :]}"]
+
+
 def word_keys(word: str, counts: np.ndarray) -> tuple[list[int], list[int]]:
     """Hashes under which a word is indexed, by its prefix, and those it probes, by its pivots."""
-    grams, size = prefix_grams(word, counts), len(word)
+    size = len(word)
     index, probe = set(), set()
-    for _, i in grams:
-        index.update(_before_keys(word, i, size), _after_keys(word, i, size))
-    for i in pivot_places(grams):
-        for length in (size - 1, size, size + 1):
-            probe.update(_before_keys(word, i, length), _after_keys(word, i, length))
+    for length in (size - 1, size, size + 1):
+        if length >= HALVED:
+            probe.update(_half_keys(word, length))
+    if size >= HALVED:
+        index.update(_half_keys(word, size))
+    else:
+        grams = prefix_grams(word, counts)
+        for _, i in grams:
+            index.update(_before_keys(word, i, size), _after_keys(word, i, size))
+        for i in pivot_places(grams):
+            for length in (size - 1, size, size + 1):
+                probe.update(_before_keys(word, i, length), _after_keys(word, i, length))
     return tuple([xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in keys] for keys in (index, probe))
 
 
@@ -150,16 +166,46 @@ def keyed_words(words: DataFrame, counts: np.ndarray) -> DataFrame:
         run, "word string, letters bigint, index array<bigint>, probe array<bigint>")
 
 
-def near_pairs(keyed: DataFrame) -> DataFrame:
-    """Each pair of words exactly one edit apart, once: first, second."""
+def one_edit(a: str, b: str) -> bool:
+    """Whether two long words are exactly one edit apart, in one pass over them."""
+    short, long = sorted((_points(a), _points(b)), key=len)
+    if len(long) - len(short) > 1:
+        return False
+    if len(short) == len(long):
+        return int((short != long).sum()) == 1
+    differ = np.flatnonzero(short != long[:-1])
+    at = int(differ[0]) if len(differ) else len(short)
+    return bool((short[at:] == long[at + 1 :]).all())
+
+
+def _met(keyed: DataFrame, near: Column) -> DataFrame:
     left = keyed.select(F.explode("probe").alias("key"), F.col("word").alias("first"),
                         F.col("letters").alias("first_letters"))
     right = keyed.select(F.explode("index").alias("key"), F.col("word").alias("second"),
                          F.col("letters").alias("second_letters"))
     # One edit changes the set of letters by two at most.
     alike = F.bit_count(F.col("first_letters").bitwiseXOR(F.col("second_letters"))) <= 2
-    near = F.levenshtein("first", "second", 1) == 1
-    met = left.join(right, (left["key"] == right["key"]) & alike & near)
+    return left.join(right, (left["key"] == right["key"]) & alike & near).select("first", "second")
+
+
+def near_pairs(keyed: DataFrame) -> DataFrame:
+    """Each pair of words exactly one edit apart, once: first, second.
+
+    Spark's distance takes time with the square of the length, so pairs of long words are
+    compared in Python instead.
+    """
+    long = F.length("word") >= HALVED
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [one_edit(a, b) for a, b in zip(batch["first"].to_pylist(), batch["second"].to_pylist())]
+            yield batch.filter(pa.array(near, pa.bool_()))
+
+    met = _met(keyed.where(~long), F.levenshtein("first", "second", 1) == 1).unionByName(
+        _met(keyed.where(F.length("word") >= HALVED - 1),
+             (F.col("first") != F.col("second")) & (
+                 F.greatest(F.length("first"), F.length("second")) >= HALVED))
+        .mapInArrow(verified, "first string, second string"))
     return met.select(F.least("first", "second").alias("first"),
                       F.greatest("first", "second").alias("second")).distinct()
 

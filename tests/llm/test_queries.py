@@ -36,7 +36,7 @@ def rows(spark, name):
 
 def test_all_queries_are_registered():
     assert set(q.QUERIES) <= set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {n[: n.index("_") + 1] for n in q.QUERIES if n != "pipeline"}
+    assert {f"op{n}_" for n in range(1, 14)} == {n[: n.index("_") + 1] for n in q.QUERIES if n != "pipeline"}
 
 
 def test_nearest(spark):
