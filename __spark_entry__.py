@@ -10,10 +10,11 @@ from __future__ import annotations
 import importlib
 import importlib.util
 import sys
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -23,6 +24,8 @@ from nametrail.constants import MULTI_PART_TLDS, VOCABULARY
 from nametrail.functions import text
 from nametrail.operators.skew import HEAVY_MIN_ROWS
 from nametrail.plans import analytics, evaluation, pipeline, risk
+from nametrail.plans.lineage import shared_folder
+from nametrail.sources import export_alerts_csv, load_log, write_events
 from nametrail.sources.bind import parse_bind_lines
 from nametrail.sources.normalize import normalize_events
 from nametrail.sources.zeek import ZeekHeader, parse_zeek_lines
@@ -398,10 +401,8 @@ def timestamp_layouts(spark, sf_dir):
 
 def alert_list(spark, sf_dir):
     """The alert table in its order, which the position proves."""
-    shown = analytics.alert_table(alert_table(spark, sf_dir))
-    return shown.withColumn("position", F.monotonically_increasing_id()).select(
-        "alert_id", "severity_label", "detector", "src_ip", "domain", "mitre_id",
-        F.rank().over(Window.orderBy("position")).cast("bigint").alias("position"))
+    return analytics.alert_positions(alert_table(spark, sf_dir)).select(
+        "alert_id", "severity_label", "detector", "src_ip", "domain", "mitre_id", "position")
 
 
 def alert_preview(spark, sf_dir):
@@ -480,15 +481,22 @@ def default_domain(spark, sf_dir):
 
 def bind_lines(spark, sf_dir):
     """The events written as BIND log lines and read back."""
+    return _parsed(normalize_events(parse_bind_lines(_bind_text(spark, sf_dir))))
+
+
+def _bind_text(spark, sf_dir):
     stamp = F.date_format("timestamp", "dd-MMM-yyyy HH:mm:ss.SSS")
     failed = F.col("response_code") == "NXDOMAIN"
-    lines = dns_events(spark, sf_dir).select(F.when(failed, F.format_string(
+    return dns_events(spark, sf_dir).select(F.when(failed, F.format_string(
         "%s query-errors: info: client @0x7f %s#53 (%s): view main: query failed (NXDOMAIN) "
         "for %s/IN/%s at query.c:1", stamp, "src_ip", "query_name", "query_name", "query_type"),
     ).otherwise(F.format_string(
         "%s queries: info: client %s#53 (%s): query: %s IN %s + (10.0.0.1)",
         stamp, "src_ip", "query_name", "query_name", "query_type")).alias("value"))
-    return normalize_events(parse_bind_lines(lines)).select(
+
+
+def _parsed(events):
+    return events.select(
         _us("timestamp").alias("us"), "src_ip", "query_name", "query_type", "response_code",
         "response_ip", "ttl", "query_size_bytes", "registrable_domain")
 
@@ -496,20 +504,78 @@ def bind_lines(spark, sf_dir):
 ZEEK_FIELDS = ("ts", "uid", "id.orig_h", "query", "qtype_name", "rcode_name", "answers", "TTLs")
 
 
-def zeek_lines(spark, sf_dir):
-    """The events written as Zeek rows and read back."""
+def _zeek_cells(spark, sf_dir):
     answer = F.when(F.col("response_ip") == "", "-").otherwise(
         F.concat(F.lit("alias.example,"), "response_ip"))
     lifetimes = F.concat(F.col("ttl").cast("string"), F.lit(".0,5.0"))
     us = F.unix_micros("timestamp")
     seconds = F.concat_ws(".", F.floor(us / 1_000_000).cast("string"),
                           F.lpad((us % 1_000_000).cast("string"), 6, "0"))
-    lines = dns_events(spark, sf_dir).select(F.concat_ws(
-        "\t", seconds, F.lit("C1"), "src_ip", "query_name", "query_type",
-        F.lower("response_code"), answer, lifetimes).alias("value"))
-    return normalize_events(parse_zeek_lines(lines, ZeekHeader(ZEEK_FIELDS))).select(
+    cells = (seconds, F.lit("C1"), F.col("src_ip"), F.col("query_name"), F.col("query_type"),
+             F.lower("response_code"), answer, lifetimes)
+    return dns_events(spark, sf_dir).select(*(c.alias(f) for c, f in zip(cells, ZEEK_FIELDS)))
+
+
+def zeek_lines(spark, sf_dir):
+    """The events written as Zeek rows and read back."""
+    cells = _zeek_cells(spark, sf_dir)
+    lines = cells.select(F.concat_ws("\t", *(f"`{f}`" for f in ZEEK_FIELDS)).alias("value"))
+    return _parsed(normalize_events(parse_zeek_lines(lines, ZeekHeader(ZEEK_FIELDS))))
+
+
+#: Files of each kind that the Zeek round trip writes.
+N_FILES = 4
+
+
+def _log_folder(spark):
+    return f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+
+
+def csv_files(spark, sf_dir):
+    """The events written to CSV files and loaded from them, the format found by a look at it."""
+    folder = _log_folder(spark)
+    write_events(dns_events(spark, sf_dir), folder, "csv")
+    return load_log(spark, folder).select(
         _us("timestamp").alias("us"), "src_ip", "query_name", "query_type", "response_code",
-        "response_ip", "ttl", "query_size_bytes", "registrable_domain")
+        "response_ip", "ttl", "query_size_bytes", "first_registered_days_ago",
+        "ground_truth_label", "registrable_domain", "subdomain", _long("subdomain_label_count"),
+        _long("subdomain_len"))
+
+
+def bind_files(spark, sf_dir):
+    """The same with BIND log files."""
+    folder = _log_folder(spark)
+    _bind_text(spark, sf_dir).write.text(folder)
+    return _parsed(load_log(spark, folder))
+
+
+def zeek_files(spark, sf_dir):
+    """The same with Zeek files of two kinds: the second has other fields in another order."""
+    folder = _log_folder(spark)
+    cells = _zeek_cells(spark, sf_dir)
+    other = ["query", "ts", "answers", "qtype_name", "id.orig_h", "rcode_name", "TTLs"]
+    even = F.crc32("`query`") % 2 == 0
+    for mode, part, fields in (("error", cells.where(even), list(ZEEK_FIELDS)),
+                               ("append", cells.where(~even), other)):
+        lines = part.select(F.pmod(F.xxhash64("`query`", "ts"), F.lit(N_FILES)).alias("file"),
+                            F.concat_ws("\t", *(f"`{f}`" for f in fields)).alias("value"))
+        heads = spark.range(N_FILES).select(
+            F.col("id").alias("file"), F.lit("\t".join(["#fields", *fields])).alias("value"))
+        head_first = [F.col("file"), F.desc(F.col("value").startswith("#"))]
+        (lines.unionByName(heads).repartition(N_FILES, "file").sortWithinPartitions(*head_first)
+         .select("value").write.mode(mode).text(folder))
+    return _parsed(load_log(spark, folder))
+
+
+def alert_files(spark, sf_dir):
+    """The alert table exported as CSV and read back."""
+    folder = _log_folder(spark)
+    export_alerts_csv(alert_table(spark, sf_dir), folder)
+    read = spark.read.options(header=True, escape='"').csv(folder)
+    assert "evidence" not in read.columns
+    return _alert_columns(read.withColumns({
+        "timestamp": F.col("timestamp").cast("timestamp"),
+        "severity_score": F.col("severity_score").cast("double")}))
 
 
 QUERIES = [
@@ -526,6 +592,7 @@ QUERIES = [
     alert_hosts, host_risk_all_hosts, tactic_summary_all_hosts, host_tactics_all_hosts,
     timeline_all_hosts, kill_chain_all_hosts, recall_all_hosts, false_positives_all_hosts,
     typosquat_cut_brands, timestamp_layouts, alert_list, alert_preview,
+    csv_files, bind_files, zeek_files, alert_files,
 ]
 
 

@@ -496,6 +496,8 @@ SELECTS.update({name: ("tfh", SELECTS[same][1]) for name, same in OVER_ALL_HOSTS
 SAME_AS = {
     "beaconing_heavy_pairs": "beaconing_features",
     "nxdomain_burst_heavy_hosts": "nxdomain_burst",
+    "csv_files": "normalize_domains", "bind_files": "bind_lines", "zeek_files": "zeek_lines",
+    "alert_files": "alerts_union",
 }
 
 

@@ -11,7 +11,7 @@ from nametrail.functions.scoring import severity_rank, tactic_rank
 from nametrail.functions.text import REGISTRABLE_DOMAIN
 from nametrail.operators.rollup import pair_rollup
 from nametrail.plans.evaluation import evaluate_against_ground_truth
-from nametrail.plans.pipeline import alert_order
+from nametrail.plans.pipeline import alert_order, numbered
 from nametrail.plans.risk import (
     compute_host_risk,
     host_alert_timeline,
@@ -117,6 +117,14 @@ def alert_table(alerts: DataFrame) -> DataFrame:
         "reason")
 
 
+def alert_positions(alerts: DataFrame) -> DataFrame:
+    """The alert list with each alert's place in it, from 1, in column ``position``."""
+    shown = [severity_rank(F.col("severity_label")), *alert_order()]
+    return numbered(alerts, shown, "position").select(
+        "alert_id", "timestamp", "severity_label", "detector", "src_ip", "domain", "mitre_id",
+        "reason", "position")
+
+
 def alert_preview(alerts: DataFrame, limit: int = 15) -> DataFrame:
     return alerts.orderBy(*alert_order()).drop("evidence").limit(limit)
 

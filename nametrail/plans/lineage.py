@@ -1,17 +1,16 @@
-"""Cutting lineage where a result feeds several later jobs."""
+"""Cutting lineage where a result feeds several later jobs, and the folder for it."""
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, below ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a temporary folder.
+    Only a local session without that setting gets a temporary folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -19,4 +18,10 @@ def materialized(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="nametrail-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: the rows survive the loss of executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -101,27 +101,33 @@ def union_alerts(events: DataFrame, params: Mapping[str, dict] | None = None,
     return reduce(DataFrame.unionByName, branches)
 
 
-def number_alerts(alerts: DataFrame) -> DataFrame:
-    """Add ``ALT-0001 …`` in alert order; rows come back in that order.
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add the row number, from 1, in this order; rows come back in it.
 
-    The alerts are range partitioned and sorted, so no task sees all of them. A
-    checkpoint fixes the ranges; an id is then the position inside its range plus
+    The rows are range partitioned and sorted, so no task sees all of them. A
+    checkpoint fixes the ranges; a number is then the position inside its range plus
     the size of all earlier ranges, a table with one row per range.
     """
     position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     ranged = materialized(
-        alerts.repartitionByRange(*alert_order())
-        .sortWithinPartitions(*alert_order())
+        rows.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .withColumn("_range", F.spark_partition_id())
         .withColumn("_position", position))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy("_range").agg(F.count("*").alias("_n"))
         .select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")))
-    number = F.col("_offset") + F.col("_position") + 1
     return (
         ranged.join(F.broadcast(offsets), "_range")
-        .withColumn("alert_id", F.format_string("ALT-%04d", number))
+        .select(*rows.columns, (F.col("_offset") + F.col("_position") + 1).alias(name)))
+
+
+def number_alerts(alerts: DataFrame) -> DataFrame:
+    """Add ``ALT-0001 …`` in alert order; rows come back in that order."""
+    return (
+        numbered(alerts, alert_order(), "_number")
+        .withColumn("alert_id", F.format_string("ALT-%04d", "_number"))
         .select(*ALERT_COLUMNS))
 
 
