@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nametrail.llm.common import Tables, chunks, mix64, seeds, ship, small, word_hashes
@@ -108,7 +108,8 @@ _SKETCH = ("doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, a array<bigi
 
 def sketches(docs: DataFrame) -> DataFrame:
     """Per document: size and 128-bit hash of its set, the keys of both collections, and
-    16 bits of each minhash. `docs` has doc_id and text."""
+    16 bits of each minhash. `docs` has doc_id and text, and maybe row_key, which goes along."""
+    along = [c for c in docs.columns if c == "row_key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = seeds(ROWS, salt=5)
@@ -128,10 +129,10 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(first),
                 pa.array(second), pa.array(a, pa.list_(pa.int64())), pa.array(b, pa.list_(pa.int64())),
-                pa.array(sketch, pa.binary()),
-            ], names=[c.split()[0] for c in _SKETCH.split(", ")])
+                pa.array(sketch, pa.binary()), *(part.column(c) for c in along),
+            ], names=[*(c.split()[0] for c in _SKETCH.split(", ")), *along])
 
-    return docs.mapInArrow(run, _SKETCH)
+    return docs.mapInArrow(run, ", ".join([_SKETCH, *(f"{c} bigint" for c in along)]))
 
 
 def _live(keys: DataFrame) -> DataFrame:
@@ -270,10 +271,12 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return chosen.mapInArrow(run, "rep bigint, shingles binary").dropDuplicates(["rep"])
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text",
-                    id_column: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text",
+                    id_column: str = "doc_id", row_key: Column | None = None) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept (the component's smallest id).
 
+    A `row_key` (bigint) is returned as well; it names the row where ids do not.
+
     Sets are the distinct five-word shingles of the whole text, A-Z lower-cased. Two
     documents are linked if 100 * intersection >= percent * union. Null and empty texts have
     empty sets and stand alone. A null id stands alone, has no component and is kept.
@@ -284,7 +287,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text",
     ship(spark)
     tables = Tables(spark)
     chosen = docs.select(docs[id_column].cast("bigint").alias("doc_id"),
-                         docs[text].cast("string").alias("text"))
+                         docs[text].cast("string").alias("text"),
+                         *([] if row_key is None else [row_key.alias("row_key")]))
+    along = [c for c in chosen.columns if c == "row_key"]
     made = tables.save(sketches(chosen))
     whole_set = ["h1", "h2", "n_shingles"]
     usable = made.where("n_shingles > 0 and doc_id is not null")
@@ -314,8 +319,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text",
         members.select("rep", "root").join(least, "root"), "rep", "left").select(
         *whole_set, F.coalesce("least", "named").alias("root"))
     usual = F.col("n_shingles") > 0
-    return (made.select("doc_id", *whole_set).join(classes, whole_set, "left")
-            .select("doc_id", "n_shingles",
+    return (made.select("doc_id", *whole_set, *along).join(classes, whole_set, "left")
+            .select("doc_id", "n_shingles", *along,
                     F.when(usual & F.col("doc_id").isNotNull(), F.col("root"))
                     .otherwise(F.col("doc_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))

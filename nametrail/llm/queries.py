@@ -37,30 +37,35 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_captures(pages: DataFrame) -> DataFrame:
-    """Two WARC records for each page: the response, and a later revisit of a like URL whose
-    validators mostly agree. All is derived from the page's id, URL and text."""
-    page = F.col("page_id")
-    tag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit('"'))
-    time = 1_700_000_000 + (page * 7919) % 1_000_003
-    response = pages.select(
-        (2 * page).alias("record_id"), "url", time.alias("ts"), F.lit("response").alias("kind"),
-        F.create_map(
-            F.lit("Content-Type"), F.lit("text/html"), F.lit("Server"), F.lit("a"),
-            F.lit("Content-Length"), F.length("html").cast("string"), F.lit("ETag"), tag,
-            F.lit("Last-Modified"), (time - 1000).cast("string"),
-            F.lit("Cache-Control"), F.lit("max-age=60")).alias("headers"))
+    """WARC records of each page: 6 to 16 captures (406 of every 500th page) at later and later
+    times, each third one a response, the others revisits of a like URL. The resource changes
+    with every fifth capture. All is derived from the page's id, URL and text."""
+    page, j = F.col("page_id"), F.col("j")
+    many = 6 + F.when(page % 500 == 0, 400).otherwise(page % 11)
+    each = pages.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), many - 1)))
+    start = 1_700_000_000 + (page * 7919) % 1_000_003
+    version = F.expr("j div 5")
+    timed = each.select(
+        page, j, "url", F.length("html").alias("size"), (j % 3 == 0).alias("full"),
+        (start + j * 30_011 + (page * 31 + j * 7919) % 20_011).alias("ts"),
+        (start - 1000 + version * 10).cast("string").alias("changed"),
+        F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit("-"), version, F.lit('"')).alias("tag"))
     shown = F.when(page % 7 == 0, F.lit(None)).when(page % 5 == 0, F.lit('"stale"')).otherwise(
-        F.concat(F.lit("W/"), tag))
-    later = time + (page * 31) % 90_001 - 1000
-    revisit = pages.select(
-        (2 * page + 1).alias("record_id"), F.concat("url", F.lit("#again")).alias("url"),
-        later.alias("ts"), F.lit("revisit").alias("kind"),
-        F.map_filter(F.create_map(
-            F.lit("Date"), later.cast("string"), F.lit("etag"), shown,
-            F.lit("Last-Modified"), (time - F.when(page % 11 == 0, 7).otherwise(1000)).cast("string"),
-            F.lit("Cache-Control"), F.concat(F.lit("max-age="), (page % 100).cast("string")),
-            F.lit("Content-Length"), F.lit("0")), lambda k, v: v.isNotNull()).alias("headers"))
-    return response.unionByName(revisit)
+        F.concat(F.lit("W/"), "tag"))
+    response = F.create_map(
+        F.lit("Content-Type"), F.lit("text/html"), F.lit("Server"), F.concat(F.lit("a"), j),
+        F.lit("Content-Length"), F.col("size").cast("string"), F.lit("ETag"), F.col("tag"),
+        F.lit("Last-Modified"), F.col("changed"), F.lit("Cache-Control"), F.lit("max-age=60"))
+    revisit = F.map_filter(F.create_map(
+        F.lit("Date"), F.col("ts").cast("string"), F.lit("etag"), shown,
+        F.lit("Last-Modified"), F.when(page % 11 == 0, "7").otherwise(F.col("changed")),
+        F.lit("Cache-Control"), F.concat(F.lit("max-age="), (page % 100).cast("string")),
+        F.lit("Content-Length"), F.lit("0")), lambda k, v: v.isNotNull())
+    return timed.select(
+        (page * 1000 + j).alias("record_id"),
+        F.when(F.col("full"), F.col("url")).otherwise(F.concat("url", F.lit("#again"))).alias("url"), "ts",
+        F.when(F.col("full"), "response").otherwise("revisit").alias("kind"),
+        F.when(F.col("full"), response).otherwise(revisit).alias("headers"))
 
 
 def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,43 +76,47 @@ def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-with pages_ as (
-  select page_id, '"' || substr(md5(html), 1, 16) || '"' as tag, length(html) as size,
-    1700000000 + (page_id * 7919) % 1000003 as ts,
+with captures as (
+  select page_id, url, html,
+    unnest(range(6 + case when page_id % 500 = 0 then 400 else page_id % 11 end)) as j from pages),
+timed as (
+  select page_id, j, page_id * 1000 + j as record_id, j % 3 = 0 as full_, length(html) as size,
+    1700000000 + (page_id * 7919) % 1000003 + j * 30011 + (page_id * 31 + j * 7919) % 20011 as ts,
+    cast(1700000000 + (page_id * 7919) % 1000003 - 1000 + j // 5 * 10 as varchar) as changed,
+    '"' || substr(md5(html), 1, 16) || '-' || j // 5 || '"' as tag,
     regexp_replace(trim(url), '#.*$', '') as plain
-  from pages),
+  from captures),
 parts as (
   select *, lower(regexp_extract(plain, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)) as host,
     regexp_replace(regexp_replace(plain, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', ''),
       '([?&])(utm_[A-Za-z0-9_]*|ref|fbclid|gclid)=[^&]*', '\1', 'g') as rest
-  from pages_),
+  from timed),
 known as (
-  select *, regexp_replace(host, ':(80|443)$', '') || regexp_replace(
-    regexp_replace(regexp_replace(rest, '([?&])&+', '\1', 'g'), '[?&]+$', ''),
-    '/+($|[?])', '\1', 'g') as target
+  select *, ts * 1000000000 + record_id as place,
+    regexp_replace(host, ':(80|443)$', '') || regexp_replace(
+      regexp_replace(regexp_replace(rest, '([?&])&+', '\1', 'g'), '[?&]+$', ''),
+      '/+($|[?])', '\1', 'g') as target
   from parts),
-responses as (select 2 * page_id as response_id, target, ts, tag, size,
-  ts * 100000000 + 2 * page_id as place from known),
-revisits as (select 2 * page_id + 1 as record_id, target, page_id,
-  ts + (page_id * 31) % 90001 - 1000 as later,
-  (ts + (page_id * 31) % 90001 - 1000) * 100000000 + 2 * page_id + 1 as place,
-  case when page_id % 7 = 0 then null when page_id % 5 = 0 then '"stale"' else tag end as shown,
-  ts - (case when page_id % 11 = 0 then 7 else 1000 end) as changed from known),
+revisits as (
+  select *, case when page_id % 7 = 0 then null when page_id % 5 = 0 then '"stale"' else tag end as shown,
+    case when page_id % 11 = 0 then '7' else changed end as told from known where not full_),
+responses as (select record_id as response_id, target, place, tag as old_tag, changed as old_changed,
+  size as old_size, 'a' || j as server from known where full_),
 joined as (
-  select v.*, r.response_id, r.size, r.tag as old_tag, r.ts - 1000 as old_changed,
+  select v.*, r.response_id, r.old_tag, r.old_changed, r.old_size, r.server,
     case when r.response_id is null then 'missing'
-      when coalesce(v.shown = r.tag, v.changed = r.ts - 1000) then 'matched' else 'mismatched' end as verdict
+      when coalesce(v.shown = r.old_tag, v.told = r.old_changed) then 'matched' else 'mismatched' end as verdict
   from revisits v asof left join responses r on v.target = r.target and v.place > r.place)
 select record_id, target, response_id, verdict,
   case when verdict = 'matched' then
-    'cache-control: max-age=' || (page_id % 100) || '|content-length: ' || size
-    || '|content-type: text/html|date: ' || later || '|etag: '
+    'cache-control: max-age=' || (page_id % 100) || '|content-length: ' || old_size
+    || '|content-type: text/html|date: ' || ts || '|etag: '
     || coalesce(case when shown = '"stale"' then shown else 'W/' || shown end, old_tag)
-    || '|last-modified: ' || old_changed || '|server: a'
+    || '|last-modified: ' || old_changed || '|server: ' || server
   else
-    'cache-control: max-age=' || (page_id % 100) || '|content-length: 0|date: ' || later
+    'cache-control: max-age=' || (page_id % 100) || '|content-length: 0|date: ' || ts
     || coalesce('|etag: ' || case when shown = '"stale"' then shown else 'W/' || shown end, '')
-    || '|last-modified: ' || changed
+    || '|last-modified: ' || told
   end as headers
 from joined
 """

@@ -68,8 +68,11 @@ def latest_response(records: DataFrame, slice_seconds: int = SLICE_SECONDS) -> D
 def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """One row per revisit: record_id, target (canonical URL), response_id, verdict, headers.
 
-    `records` has record_id (unique), url, ts (seconds), kind ('response' or 'revisit') and
-    headers (map of strings); other columns are left out, rows of another kind are passed over.
+    `records` has record_id, url, ts (seconds), kind ('response' or 'revisit') and headers (map
+    of strings); other columns are left out, rows of another kind are passed over. A record
+    given several times counts once; of different records under one id the earliest does (then
+    the smallest target, a revisit before a response, the smallest headers). A revisit without
+    an id is told as missing, once for equal rows.
 
     verdict is `missing` without an earlier response (or without URL or time), `matched` if
     the entity tags agree (weak comparison) or, where one of the two has none, the
@@ -80,6 +83,10 @@ def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE_SECONDS) ->
     known = records.where(F.col("kind").isin("response", "revisit")).select(
         "record_id", canonical_url(F.col("url")).alias("target"), F.col("ts").cast("bigint").alias("ts"),
         (F.col("kind") == "response").alias("full"), _headers(F.col("headers")).alias("headers"))
+    first = F.min(F.struct("ts", "target", "full", "headers")).alias("first")
+    known = (known.where("record_id is not null").groupBy("record_id").agg(first)
+             .select("record_id", "first.*")
+             .unionByName(known.where("record_id is null").distinct()))
     found = latest_response(known.select("record_id", "target", "ts", "full"), slice_seconds)
     responses = known.where("full").select(
         F.col("record_id").alias("response_id"), F.col("headers").alias("stored"))

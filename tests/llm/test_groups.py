@@ -69,7 +69,7 @@ def test_near_duplicates_like_brute_force(make_docs, odd_rows, copies, monkeypat
     monkeypatch.setattr(near_dup, "SKETCH_BLOCK", block)
     monkeypatch.setattr(near_dup, "SET_BLOCK", block)
     rows = odd_rows + copies
-    got = near_duplicates(make_docs(rows)).collect()
+    got = near_duplicates(make_docs(rows), percent=85).collect()
     want = brute_components(rows)
     assert len(got) == len(rows)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
@@ -249,3 +249,31 @@ def test_canonical_urls(spark):
             ("https://e.org", "e.org"), ("e", "e"), ("", ""), (None, None)]
     frame = spark.createDataFrame(urls, "url string, want string")
     assert frame.where(~canonical_url(F.col("url")).eqNullSafe(F.col("want"))).collect() == []
+
+
+def test_repeated_records_are_resolved_once(spark):
+    rows = [(1, "http://a.com/x", 10, "response", {"ETag": "t", "Server": "s"}, "?"),
+            (2, "http://a.com/x", 20, "revisit", {"ETag": "t"}, "?")]
+    once = resolve_revisits(spark.createDataFrame(rows, RECORDS)).collect()
+    assert len(once) == 1 and once[0].verdict == "matched"
+    assert resolve_revisits(spark.createDataFrame(rows * 2, RECORDS).repartition(3)).collect() == once
+    other = (1, "http://a.com/x", 15, "response", {"ETag": "u"}, "?")
+    assert resolve_revisits(spark.createDataFrame([*rows, other], RECORDS)).collect() == once
+    nameless = (None, "http://a.com/x", 30, "revisit", {}, "?")
+    got = resolve_revisits(spark.createDataFrame([*rows, nameless, nameless], RECORDS)).collect()
+    assert sorted((r.record_id or 0, r.verdict) for r in got) == [(0, "missing"), (2, "matched")]
+
+
+def test_most_revisits_have_several_earlier_responses(spark):
+    from nametrail.llm.queries import page_captures
+
+    records = page_captures(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).select(
+        "url", "ts", "kind").collect()
+    responses, revisits = {}, []
+    for r in records:
+        if r.kind == "response":
+            responses.setdefault(r.url, []).append(r.ts)
+        else:
+            revisits.append((r.url.removesuffix("#again"), r.ts))
+    several = sum(sum(t < ts for t in responses.get(url, [])) >= 2 for url, ts in revisits)
+    assert several > len(revisits) / 2

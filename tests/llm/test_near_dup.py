@@ -59,7 +59,7 @@ def test_id_with_two_texts_keeps_the_links_of_both(make_docs):
     rows = []
     for (named, one, two), first, second in zip(ids, texts[::2], texts[1::2]):
         rows += [(named, first), (named, second), (one, first + " end"), (two, second + " end")]
-    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(make_docs(rows)).collect())
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(make_docs(rows), percent=85).collect())
     assert got == [
         (2, 197, 2, True), (3, 197, 3, True), (5, 196, 2, False), (5, 196, 3, False),
         (6, 197, 6, True), (7, 196, 7, True), (7, 196, 7, True), (7, 197, 7, True),

@@ -202,3 +202,37 @@ def test_pipeline_on_odd_tables(spark, make_docs, odd_rows):
             frame = spark.createDataFrame(out.collect(), out.schema)
         assert corpus_pipeline.STAGES[-1][1](spark, frame, SF).count() == frame.count()
         assert (frame.count() > 0) == (n > 0)
+
+
+def test_mix_goes_by_row(spark):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows_ = [(None, " ".join(f"w{i}x{j}" for j in range(40 + i % 20)), "en", f"s{i % 3}", 1) for i in range(60)]
+    rows_ += [(7, "one text that is given nine times over", "en", "s0", 1)] * 9
+    rows_ += [(8, f"several texts under one id number {i}", "en", "s1", 1) for i in range(9)]
+    docs = spark.createDataFrame(rows_, schema).repartition(5)
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF).collect()
+    sizes = Counter()
+    for r in rows_:
+        sizes[r[3]] += len(r[1].split())
+    taken = Counter()
+    for r in mixed:
+        taken[r.source] += len(r.text.split())
+    for source, target in water_level(sizes).items():
+        assert abs(taken[source] - target) <= 60
+    times, given = Counter(map(tuple, mixed)), Counter(rows_)
+    assert all(times[r] <= 2 * n for r, n in given.items()) and set(times) <= set(given)
+
+
+def test_one_of_several_texts_under_an_id_goes(spark):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    copy, other = "a text of some ten words that is copied elsewhere too", "another text which has nothing in common"
+    leak = table("benchmark", "text")[0][0]
+    docs = spark.createDataFrame([(1, copy, "en", "s", 1), (2, copy, "en", "s", 1), (2, other, "en", "s", 1),
+                                  (None, other + " again and again", "en", "s", 1)], schema)
+    kept = corpus_pipeline.keep_distinct(spark, docs, SF).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted(
+        [(1, copy), (2, other), (0, other + " again and again")])
+    docs = spark.createDataFrame([(3, leak, "en", "s", 1), (3, other, "en", "s", 1), (None, leak, "en", "s", 1),
+                                  (None, other, "en", "s", 1)], schema)
+    kept = corpus_pipeline.keep_unseen(spark, docs, SF).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(3, other), (0, other)])
