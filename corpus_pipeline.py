@@ -3,13 +3,15 @@
 ``STAGES`` lists the stages in order; each takes (spark, docs, sf_dir), and ``run`` writes
 what each returns as Parquet in the shared folder and hands it on as the next one's docs.
 All but the last return rows of ``documents`` with its columns (and any others it came with).
+Stages decide by row: ids may be null, and may stand for several texts. A row is named by a
+64-bit hash of its columns; rows equal in all of them share what is decided.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nametrail.llm.common import Tables, small
@@ -31,10 +33,15 @@ def rated_grade():
             .when((F.col("toxic") == 0) & (F.col("quality") == 1), 2))
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is not among `ids` (doc_id); null ids stay."""
-    named = small(Tables(docs.sparkSession).save(ids.select(F.col("doc_id").alias("_gone")).distinct()))
-    return docs.join(named, docs["doc_id"] == named["_gone"], "left_anti")
+def row_key(docs: DataFrame) -> Column:
+    """Names a row by its content: the same whenever and wherever the row is read."""
+    return F.xxhash64(*(docs[c] for c in docs.columns))
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The documents whose row key is not the one column of `keys`."""
+    gone = small(Tables(docs.sparkSession).save(keys.toDF("_gone").distinct()))
+    return docs.join(gone, row_key(docs) == gone["_gone"], "left_anti")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,24 +51,45 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates."""
-    return _without(docs, near_duplicates(docs, percent=80).where(~F.col("kept")))
+    """One document, that with the smallest id, of each group of near-duplicates.
+
+    Texts without words and documents without an id are groups of their own. Of several texts
+    under the smallest id of a group, each stays that has this id.
+    """
+    found = near_duplicates(docs, percent=80, row_key=row_key(docs))
+    return _without(docs, found.where(~F.col("kept")).select("row_key"))
 
 
 def keep_unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
-    leaks = benchmark_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    keyed = docs.select(row_key(docs).alias("_key"), "text")
+    leaks = benchmark_overlaps(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_column="_key")
     return _without(docs, leaks.select("doc_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; of rows that share an id, as one of them."""
-    mixed = balance_sources(docs, weights=(3.0, 1.0, 2.0), share=1.5, max_copies=2.0)
-    copies = small(Tables(spark).save(
-        mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"])).where("_copies > 0")
-    return (joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-            .select(*(docs[c] for c in docs.columns)))
+    """Every document as often as the mix takes it.
+
+    Equal rows cannot be told apart: each of them is taken as often as all can be, and one of
+    them by what is left over.
+    """
+    keyed = docs.select(row_key(docs).alias("_key"), "text", "source")
+    mixed = balance_sources(keyed, weights=(3.0, 1.0, 2.0), share=1.5, max_copies=2.0, id_column="_key")
+    taken = Tables(spark).save(mixed.groupBy(F.col("doc_id").alias("_key")).agg(
+        F.sum("copies").alias("_all"), F.count("*").alias("_rows")))
+    copies = small(taken)
+    columns = [docs[c] for c in docs.columns]
+    joined = docs.join(copies, row_key(docs) == copies["_key"])
+
+    def repeated(rows: DataFrame, times: Column) -> DataFrame:
+        return (rows.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
+                .select(*docs.columns))
+
+    every = repeated(joined.withColumn("_times", F.floor(F.col("_all") / F.col("_rows"))), F.col("_times"))
+    left = joined.where(F.col("_all") % F.col("_rows") > 0).groupBy("_key").agg(
+        F.first("_all").alias("_all"), F.first("_rows").alias("_rows"), F.first(F.struct(*columns)).alias("_row"))
+    return every.unionByName(repeated(
+        left.select("_row.*", (F.col("_all") % F.col("_rows")).alias("_times")), F.col("_times")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
