@@ -3,8 +3,10 @@
 The rules' regular expressions become one nondeterministic automaton, subset
 construction makes it deterministic, partition refinement minimises it, and what is left
 is an array: next state by state and byte class. One of its entry states scans: it looks
-for every rule at once from every position. The other entry states match one rule each
-from a fixed position, for the exact limits of what the scan has found.
+for every rule at once from every position. For the exact limits of what the scan has found,
+each rule has two more entry states: one reads backwards and accepts wherever a match of the
+rule begins, the other matches from such a place. So no attempt fails, and the limits take
+time in proportion to the text, whatever it holds.
 
 Bytes that send every state back to the scan's first state (line ends, commas, all of
 UTF-8 beyond ASCII ...) cannot lie inside a match. Texts are cut behind such bytes into
@@ -69,36 +71,37 @@ class _Nfa:
         self.moves.append([])
         return len(self.free) - 1
 
-    def add(self, items, at: int) -> int:
-        """Adds what a parsed expression reads after state `at`; the state it ends in."""
-        for op, arg in items:
+    def add(self, items, at: int, back: bool = False) -> int:
+        """Adds what a parsed expression reads after state `at`, or reads backwards; the state
+        it ends in."""
+        for op, arg in reversed(items) if back else items:
             if op is syntax.LITERAL:
                 at = self._step(at, frozenset([arg]))
             elif op is syntax.IN:
                 at = self._step(at, _charset(arg))
             elif op is syntax.SUBPATTERN:
-                at = self.add(arg[3], at)
+                at = self.add(arg[3], at, back)
             elif op is syntax.BRANCH:
                 end = self.state()
                 for option in arg[1]:
                     begin = self.state()
                     self.free[at].add(begin)
-                    self.free[self.add(option, begin)].add(end)
+                    self.free[self.add(option, begin, back)].add(end)
                 at = end
             elif op is syntax.MAX_REPEAT:
                 low, high, body = arg
                 for _ in range(low):
-                    at = self.add(body, at)
+                    at = self.add(body, at, back)
                 if high is syntax.MAXREPEAT:
                     begin = self.state()
                     self.free[at].add(begin)
-                    self.free[self.add(body, begin)].add(begin)
+                    self.free[self.add(body, begin, back)].add(begin)
                     at = begin
                 else:
                     end = self.state()
                     for _ in range(high - low):
                         self.free[at].add(end)
-                        at = self.add(body, at)
+                        at = self.add(body, at, back)
                     self.free[at].add(end)
                     at = end
             else:
@@ -149,6 +152,11 @@ class Automaton:
             entries.append(nfa.closure([begin]))
             accepts[nfa.add(parser.parse(rule.pattern), begin)] = 1 << i
             entries[-1] = nfa.closure([begin])
+        for i, rule in enumerate(rules):
+            begin = nfa.state()
+            nfa.moves[begin].append((frozenset(range(256)), begin))
+            accepts[nfa.add(parser.parse(rule.pattern), begin, back=True)] = 1 << (len(rules) + i)
+            entries.append(nfa.closure([begin]))
         self._determine(nfa, [nfa.closure([loop]), *entries], accepts)
 
     def _determine(self, nfa: _Nfa, entries: list[frozenset[int]], accepts: dict[int, int]) -> None:
@@ -194,12 +202,13 @@ class Automaton:
         self.table = rank[block[table[one[order]]]]
         self.flags = flags[one[order]]
         self.first_accept = int(np.argmax(self.flags != 0))
-        self.scan, *self.starts = rank[block[entries]].tolist()
+        self.scan, *others = rank[block[entries]].tolist()
+        self.starts, self.backs = others[: len(self.rules)], others[len(self.rules) :]
         width = self.table.shape[1]
         self.flat = (self.table * width).astype(np.int32).ravel()  # states times the width
         self.width = width
         live = np.arange(n) != 0
-        home = np.isin(self.table[live], (0, self.scan)).all(axis=0)
+        home = np.isin(self.table[live], (0, self.scan, *self.backs)).all(axis=0)
         self.resets = home[self.classes]
         self.rows = [row[self.classes].tolist() for row in self.table]
 
@@ -242,28 +251,24 @@ class Automaton:
         """(start, number of the rule, end) of the matches in a lane that stay."""
         out = []
         for number, rule in enumerate(self.rules):
-            first, at = self.rows[self.starts[number]], 0
-            while at < len(lane):
-                state, i = first[lane[at]], at + 1
-                if not state:
-                    at += 1
+            state, begins = self.backs[number], []
+            for i in range(len(lane) - 1, -1, -1):
+                state = self.rows[state][lane[i]]
+                if state >= self.first_accept:
+                    begins.append(i)
+            free = 0
+            for at in reversed(begins):
+                if at < free:
                     continue
-                head, end = -1, -1
-                while True:
-                    if state >= self.first_accept:
-                        head, end = (i - 1 if head < 0 else head), i
-                    if i == len(lane):
-                        break
+                state, head = self.starts[number], -1
+                for i in range(at, len(lane)):
                     state = self.rows[state][lane[i]]
-                    i += 1
                     if not state:
                         break
-                if end < 0:
-                    at += 1
-                    continue
-                if end - head >= rule.least:
-                    out.append((at, number, end))
-                at = end
+                    if state >= self.first_accept:
+                        head, free = (i if head < 0 else head), i + 1
+                if free - head >= rule.least:
+                    out.append((at, number, free))
         return out
 
 

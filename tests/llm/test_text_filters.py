@@ -199,3 +199,37 @@ def test_loss_has_its_gradient():
         assert abs(change / 2e-6 - gradient[k]) < 1e-4
 
 
+
+
+def test_secrets_take_time_in_proportion():
+    import time
+
+    from nametrail.llm.secrets import BASE_RULES, MORE_RULES, automaton
+
+    machine = automaton(BASE_RULES + MORE_RULES)
+    for unit in ("eyJ", "AKIA", "password=", "-----BEGIN ", "xoxb-", "eyJa.", "token: "):
+        lane = (unit * (1_000_000 // len(unit))).encode()
+        begun = time.time()
+        machine.matches(lane)
+        assert time.time() - begun < 10, unit
+
+
+def test_all_rules_match_leftmost_and_longest():
+    import random
+    import re
+
+    from nametrail.llm.secrets import BASE_RULES, MORE_RULES, automaton
+
+    rules = BASE_RULES + MORE_RULES
+    machine = automaton(rules)
+    plain = [re.compile(rule.pattern) for rule in rules]
+    rng = random.Random(8)
+    parts = ["eyJ", ".", "ey", "J", "aB3_", "-", "xoxb-", "ghp_", "0123456789abcdef", "AKIA", "Z9", "token", "=",
+             ": ", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "PRIVATE ", "password", "a" * 36, " "]
+    for _ in range(3000):
+        lane = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        want = [(m.start(), n, m.end()) for n, p in enumerate(plain) for m in p.finditer(lane)]
+        got = machine.matches(lane.encode())
+        short = {n for n, rule in enumerate(rules) if rule.least > 1}
+        assert [g for g in got if g[1] not in short] == [w for w in want if w[1] not in short]
+        assert set(got) <= set(want)
