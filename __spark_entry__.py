@@ -23,7 +23,7 @@ from nametrail import operators as ops
 from nametrail.constants import MULTI_PART_TLDS, VOCABULARY
 from nametrail.functions import text
 from nametrail.operators.skew import HEAVY_MIN_ROWS
-from nametrail.plans import analytics, evaluation, pipeline, risk
+from nametrail.plans import analytics, evaluation, pipeline, risk, sketches
 from nametrail.plans.lineage import shared_folder
 from nametrail.sources import export_alerts_csv, load_log, write_events
 from nametrail.sources.bind import parse_bind_lines
@@ -578,6 +578,41 @@ def alert_files(spark, sf_dir):
         "severity_score": F.col("severity_score").cast("double")}))
 
 
+def _stored_state(spark, sf_dir):
+    """The events' days as stored state; every third event arrives later."""
+    folder = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+    events = dns_events(spark, sf_dir)
+    late = F.crc32(F.col("timestamp").cast("string")) % 3 == 0
+    for part in (events.where(~late), events.where(late)):
+        sketches.append_state(sketches.day_state(part), folder)
+    return events, sketches.read_state(spark, folder)
+
+
+def _close(approx, exact):
+    """Within four standard errors, or one host."""
+    bound = F.greatest(F.lit(1.0), 4 * sketches.standard_error() * F.col(exact))
+    return (F.abs(F.col(approx) - F.col(exact)) <= bound).alias("hosts_close")
+
+
+def kpi_sketches(spark, sf_dir):
+    """KPIs from stored days; the sketch's number of hosts beside the exact one."""
+    events, state = _stored_state(spark, sf_dir)
+    exact = events.agg(F.count_distinct("src_ip").alias("unique_hosts"))
+    row = risk.one_row([sketches.state_kpis(state), exact])
+    return row.select(_long("total_queries"), _long("unique_domains"), _long("unique_hosts"),
+                      _close("approx_hosts", "unique_hosts"))
+
+
+def domain_sketches(spark, sf_dir):
+    """The same per domain."""
+    events, state = _stored_state(spark, sf_dir)
+    exact = ops.pair_rollup(events).groupBy("registrable_domain").agg(
+        F.count("*").alias("unique_hosts"))
+    return sketches.domain_reach(state).join(exact, "registrable_domain").select(
+        "registrable_domain", _long("n_queries"), _long("n_nx"), _long("unique_hosts"),
+        _close("approx_hosts", "unique_hosts"))
+
+
 QUERIES = [
     normalize_domains, label_entropy, rare_bigrams, levenshtein_pairs, sql_functions,
     bind_lines, zeek_lines,
@@ -592,7 +627,7 @@ QUERIES = [
     alert_hosts, host_risk_all_hosts, tactic_summary_all_hosts, host_tactics_all_hosts,
     timeline_all_hosts, kill_chain_all_hosts, recall_all_hosts, false_positives_all_hosts,
     typosquat_cut_brands, timestamp_layouts, alert_list, alert_preview,
-    csv_files, bind_files, zeek_files, alert_files,
+    csv_files, bind_files, zeek_files, alert_files, kpi_sketches, domain_sketches,
 ]
 
 

@@ -346,6 +346,14 @@ SELECTS = {
     "doh_hosts": ("tf", "select src_ip, providers, n_queries, last_us from doh_f"),
     "host_lists": ("", """
         select registrable_domain, {hosts} as hosts from ev group by registrable_domain"""),
+    "kpi_sketches": ("", """
+        select count(*) as total_queries, count(distinct registrable_domain) as unique_domains,
+          count(distinct src_ip) as unique_hosts, true as hosts_close from ev"""),
+    "domain_sketches": ("", """
+        select registrable_domain, count(*) as n_queries,
+          count(*) filter (where response_code = 'NXDOMAIN') as n_nx,
+          count(distinct src_ip) as unique_hosts, true as hosts_close
+        from ev group by registrable_domain"""),
     "alerts_union": ("tfa", """
         select 'ALT-' || case when alert_no < 10000
             then right('000' || cast(alert_no as varchar), 4)
