@@ -24,6 +24,7 @@ from nametrail.constants import MULTI_PART_TLDS, VOCABULARY
 from nametrail.functions import text
 from nametrail.operators.skew import HEAVY_MIN_ROWS
 from nametrail.plans import analytics, evaluation, pipeline, risk, sketches
+from nametrail.plans.evidence import evidence_facts
 from nametrail.plans.lineage import shared_folder
 from nametrail.sources import export_alerts_csv, load_log, write_events
 from nametrail.sources.bind import parse_bind_lines
@@ -578,6 +579,12 @@ def alert_files(spark, sf_dir):
         "severity_score": F.col("severity_score").cast("double")}))
 
 
+def alert_evidence(spark, sf_dir):
+    """Every fact of every alert's evidence, all detectors."""
+    return evidence_facts(alert_table(spark, sf_dir)).select(
+        "detector", "domain", "src_ip", "name", "number", "text")
+
+
 def _stored_state(spark, sf_dir):
     """The events' days as stored state; every third event arrives later."""
     folder = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
@@ -628,6 +635,7 @@ QUERIES = [
     timeline_all_hosts, kill_chain_all_hosts, recall_all_hosts, false_positives_all_hosts,
     typosquat_cut_brands, timestamp_layouts, alert_list, alert_preview,
     csv_files, bind_files, zeek_files, alert_files, kpi_sketches, domain_sketches,
+    alert_evidence,
 ]
 
 

@@ -267,7 +267,56 @@ COMPLETE_HOSTS = """per_host as (
 assert LISTED_HOSTS in ALERTS
 ALL_HOSTS = ALERTS.replace(LISTED_HOSTS, COMPLETE_HOSTS)
 
+def _facts(detector: str, domain: str, host: str, source: str, facts: dict[str, str]) -> str:
+    return (f"select '{detector}' as detector, {domain} as domain, {host} as src_ip, "
+            f"unnest([{', '.join(map(repr, facts))}]) as name, "
+            f"unnest([{', '.join(facts.values())}]::double[]) as number, null as text from {source}")
+
+
+def _shown(value: str, places: int) -> str:
+    """A value as evidence shows it: the nearest decimal, ties up."""
+    return f"round(cast({value} as decimal(24, 9)), {places})"
+
+
+#: What the detectors put into their evidence; two facts are text.
+EVIDENCE = " union all ".join([
+    _facts("dga", "registrable_domain", "hosts", "dga_f where score >= {dga_score}", {
+        "entropy_bits_per_char": _shown("entropy", 2), "rare_bigram_ratio": _shown("rare_ratio", 2),
+        "digit_ratio": _shown("digit_ratio", 2), "n_queries": "n_queries",
+        "nxdomain_ratio": _shown("nxdomain_ratio", 2)}),
+    _facts("tunneling", "registrable_domain", "src_ip",
+           "tunnel_f where score >= {tunnel[score_threshold]}", {
+        "n_queries": "n_queries", "avg_subdomain_len_chars": _shown("avg_len", 1),
+        "queries_per_min": _shown("rate", 2), "unique_label_ratio": _shown("unique_ratio", 2),
+        "txt_null_ratio": _shown("txt_null_ratio", 2),
+        "avg_subdomain_entropy": _shown("avg_entropy", 2)}),
+    _facts("beaconing", "query_name", "src_ip",
+           "beacon_f where coefficient_of_variation <= {beacon[cv_threshold]} "
+           "and score >= {beacon[score_threshold]}", {
+        "n_queries": "n_queries", "mean_interval_sec": _shown("mean_interval_sec", 1),
+        "std_interval_sec": _shown("std_interval_sec", 2),
+        "coefficient_of_variation": _shown("coefficient_of_variation", 3)}),
+    _facts("nxdomain_spike", "names", "src_ip", "nx_f", {
+        "max_nxdomain_in_window": "max_nxdomain_in_window",
+        "window_minutes": "{burst[window_minutes]}",
+        "host_nxdomain_ratio": _shown("host_nxdomain_ratio", 2),
+        "total_nxdomain_events": "total_nxdomain_events"}),
+    _facts("typosquat", "registrable_domain", "hosts", "squat_f", {
+        "edit_distance": "edit_distance", "n_queries": "n_queries"}),
+    "select 'typosquat', registrable_domain, hosts, 'matched_brand', null, matched_brand from squat_f",
+    _facts("fast_flux", "registrable_domain", "hosts", "flux_f where score >= 45", {
+        "distinct_ips": "distinct_ips", "n_resolved_queries": "n_resolved",
+        "unique_ip_ratio": _shown("ip_ratio", 2), "avg_ttl_sec": _shown("avg_ttl", 1)}),
+    _facts("newly_registered", "registrable_domain", "hosts",
+           "young_f where age_days <= 7 and score >= 40", {
+        "age_days": _shown("age_days", 1), "n_queries": "n_queries"}),
+    _facts("doh_evasion", "providers", "src_ip", "doh_f", {"n_queries": "n_queries"}),
+    "select 'doh_evasion', providers, src_ip, 'providers', null, "
+    "'[\"' || replace(providers, ';', '\",\"') || '\"]' from doh_f",
+])
+
 SELECTS = {
+    "alert_evidence": ("tf", EVIDENCE),
     "normalize_domains": ("", """
         select us, src_ip, query_name, query_type, response_code, response_ip, ttl,
           query_size_bytes, first_registered_days_ago, ground_truth_label, registrable_domain,

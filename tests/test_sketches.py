@@ -77,3 +77,22 @@ def test_exact_kpis_agree_and_empty_logs(spark, events):
     assert close(state.approx_hosts, row.unique_hosts)
     empty = sketches.state_kpis(sketches.day_state(empty_events(spark))).first()
     assert tuple(empty) == (0, 0, 0)
+
+
+def test_evidence_as_typed_facts(spark):
+    import json
+
+    from nametrail.plans.evidence import evidence_facts, fact, with_facts
+
+    texts = {"a": '{"n_queries":3,"matched_brand":"x.com","ratio":0.25}', "b": '{"providers":["p","q"]}',
+             "c": "no json", "d": None, "e": "{}"}
+    alerts = spark.createDataFrame([(i, "det", "d", "h", t) for i, t in texts.items()],
+                                   "alert_id string, detector string, domain string, src_ip string, evidence string")
+    got = {(r.alert_id, r.name): r.number if r.text is None else r.text
+           for r in evidence_facts(alerts).where("name is not null").collect()}
+    assert got == {("a", "n_queries"): 3.0, ("a", "matched_brand"): "x.com", ("a", "ratio"): 0.25,
+                   ("b", "providers"): json.dumps(["p", "q"], separators=(",", ":"))}
+    rows = with_facts(alerts).select("alert_id", fact("n_queries", "bigint").alias("n"),
+                                     fact("matched_brand", "string").alias("brand")).collect()
+    assert {r.alert_id: (r.n, r.brand) for r in rows} == {
+        "a": (3, "x.com"), **{i: (None, None) for i in "bcde"}}
