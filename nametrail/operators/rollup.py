@@ -22,13 +22,17 @@ def aged() -> Column:
     return F.col("first_registered_days_ago").isNotNull()
 
 
-def name_rollup(events: DataFrame) -> DataFrame:
+NAME_KEY = ["src_ip", "query_name", "registrable_domain", "subdomain", "subdomain_label_count"]
+ANSWER_KEY = ["registrable_domain", "response_ip", "first_registered_days_ago"]
+
+
+def name_rollup(events: DataFrame, *more: str) -> DataFrame:
     """One row per (src_ip, query_name), with the columns that follow from the name.
 
-    All buffers are numbers and times: a hash aggregation with map-side combine.
+    All buffers are numbers and times: a hash aggregation with map-side combine. ``more``
+    columns split the rows further; ``united_names`` puts such parts together.
     """
-    return events.groupBy(
-        "src_ip", "query_name", "registrable_domain", "subdomain", "subdomain_label_count").agg(
+    return events.groupBy(*NAME_KEY, *more).agg(
         F.count("*").alias("n"),
         F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
         F.count_if(F.col("response_code") == "NXDOMAIN").alias("n_nx"),
@@ -38,6 +42,14 @@ def name_rollup(events: DataFrame) -> DataFrame:
         F.count_if(F.col("query_type").isin(CARRIER_TYPES)).alias("n_carriers"))
 
 
+def united_names(parts: DataFrame) -> DataFrame:
+    """The rollup of all events, from rollups of parts of them."""
+    return parts.groupBy(*NAME_KEY).agg(
+        F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        *(F.sum(c).alias(c) for c in ("n_nx", "n_resolved", "n_aged", "n_carriers")))
+
+
 def pairs_of_names(names: DataFrame) -> DataFrame:
     """The rows of ``pair_rollup``, from those of ``name_rollup``."""
     return names.groupBy("src_ip", "registrable_domain").agg(
@@ -45,7 +57,7 @@ def pairs_of_names(names: DataFrame) -> DataFrame:
         *(F.sum(c).alias(c) for c in ("n_nx", "n_resolved", "n_aged")))
 
 
-def answer_rollup(events: DataFrame) -> DataFrame:
+def answer_rollup(events: DataFrame, *more: str) -> DataFrame:
     """One row per (registrable_domain, response_ip, first_registered_days_ago).
 
     The address is null where the query got none. Ages hardly vary inside a domain, so there
@@ -55,13 +67,20 @@ def answer_rollup(events: DataFrame) -> DataFrame:
     age = F.col("first_registered_days_ago") if known else F.lit(None).cast("double")
     return (
         events.select("registrable_domain", F.when(resolved(), F.col("response_ip")).alias("response_ip"),
-                      age.alias("first_registered_days_ago"), "timestamp", "ttl")
+                      age.alias("first_registered_days_ago"), "timestamp", "ttl", *more)
         .where(F.col("response_ip").isNotNull() | F.col("first_registered_days_ago").isNotNull())
-        .groupBy("registrable_domain", "response_ip", "first_registered_days_ago")
+        .groupBy(*ANSWER_KEY, *more)
         .agg(F.count("*").alias("c"), F.sum(F.col("ttl").cast("double")).alias("ttl_sum"),
              F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen")))
 
 
+def united_answers(parts: DataFrame) -> DataFrame:
+    """The same for ``answer_rollup``."""
+    return parts.groupBy(*ANSWER_KEY).agg(
+        F.sum("c").alias("c"), F.sum("ttl_sum").alias("ttl_sum"),
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+
+
 def pair_rollup(events: DataFrame) -> DataFrame:
     """One row per (src_ip, registrable_domain).
 

@@ -62,14 +62,18 @@ class Rollups:
     failures: DataFrame | None = None
 
     @classmethod
-    def kept(cls, events: DataFrame, params: Mapping[str, dict]) -> "Rollups":
-        """All of them, kept while they are used. Each but ``pairs`` reads the events once."""
-        names = name_rollup(events).persist(StorageLevel.MEMORY_AND_DISK)
+    def kept(cls, events: DataFrame, params: Mapping[str, dict], names: DataFrame | None = None,
+             answers: DataFrame | None = None) -> "Rollups":
+        """All of them, kept while they are used. Each but ``pairs`` reads the events once,
+        unless it is given."""
+        names = name_rollup(events) if names is None else names
+        names = names.persist(StorageLevel.MEMORY_AND_DISK)
         pairs = pairs_of_names(names).persist(StorageLevel.MEMORY_AND_DISK)
         burst = params.get("nxdomain_spike", {})
         limits = {k: burst[k] for k in ("count_threshold", "min_total") if k in burst}
         failures = able_failures(events, host_failures(events, pairs), **limits)
-        return cls(pairs, names, answer_rollup(events).persist(StorageLevel.MEMORY_AND_DISK),
+        answers = answer_rollup(events) if answers is None else answers
+        return cls(pairs, names, answers.persist(StorageLevel.MEMORY_AND_DISK),
                    failures.persist(StorageLevel.MEMORY_AND_DISK))
 
     def of(self, func: Callable) -> dict[str, DataFrame]:
@@ -132,16 +136,17 @@ def number_alerts(alerts: DataFrame) -> DataFrame:
 
 
 def run_all_detectors(events: DataFrame, params: Mapping[str, dict] | None = None,
-                      detectors: Iterable[str] | None = None) -> DataFrame:
+                      detectors: Iterable[str] | None = None, **known: DataFrame) -> DataFrame:
     """All alerts, highest severity first, with sequential ids.
 
     Runs at once: the rollups and the found alerts are kept while the ids are
     given, and the numbered table is checkpointed, so later queries read it
     instead of repeating detection. All detectors together read the events four
     times: for names, for answers, for the instants of pairs with enough queries
-    and for the failures of hosts with enough of them.
+    and for the failures of hosts with enough of them. Rollups that are ``known``
+    (``names``, ``answers``) are not made again.
     """
-    rollups = Rollups.kept(events, params or {})
+    rollups = Rollups.kept(events, params or {}, **known)
     found = union_alerts(events, params, detectors, rollups).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return number_alerts(found)

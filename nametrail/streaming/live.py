@@ -14,6 +14,7 @@ from nametrail.constants import BRAND_WATCHLIST, CARRIER_TYPES, KNOWN_DOH_PROVID
 from nametrail.functions.text import shannon_entropy
 from nametrail.operators.alerts import share
 from nametrail.operators.dga import long_label, score_labels
+from nametrail.operators.rollup import answer_rollup, name_rollup, united_answers, united_names
 from nametrail.operators.tunneling import duration_minutes, tunneling_score
 from nametrail.operators.typosquat import MIN_DOMAIN_LEN, nearest_listed_brand
 from nametrail.plans.pipeline import run_all_detectors
@@ -128,38 +129,79 @@ def tunneling_sessions(events: DataFrame, gap: str = "10 minutes", min_queries:
                 "unique_ratio", "avg_entropy", "first_seen", "last_seen", "score"))
 
 
-def _ddl(schema) -> str:
-    return schema if isinstance(schema, str) else ", ".join(
-        f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+#: Seconds of a slice of time, the unit in which state of micro-batches is kept and expires.
+SLICE_SECONDS = 900
+
+
+def _parts(batch: DataFrame) -> dict[str, DataFrame]:
+    """What is kept of a micro-batch, by slice: two rollups, and the instants of its queries."""
+    sliced = batch.withColumn(
+        "slice", F.floor(F.unix_seconds("timestamp") / SLICE_SECONDS).cast("bigint"))
+    failed = F.col("response_code") == "NXDOMAIN"
+    instants = sliced.groupBy("src_ip", "query_name", failed.alias("failed"), "timestamp", "slice")
+    return {"names": name_rollup(sliced, "slice"), "answers": answer_rollup(sliced, "slice"),
+            "instants": instants.agg(F.count("*").alias("copies"))}
+
+
+def _instants_as_events(instants: DataFrame) -> DataFrame:
+    """The columns of events that detectors still need beside the rollups."""
+    return instants.select(
+        "src_ip", "query_name", "timestamp",
+        F.when(F.col("failed"), "NXDOMAIN").otherwise("").alias("response_code"),
+        F.lit(None).cast("double").alias("first_registered_days_ago"),
+        F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("_copy")).drop("_copy")
+
+
+def _expire(spark: SparkSession, store: str, first: int) -> None:
+    """Delete the slices before ``first``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    pattern = hadoop.Path(f"{store}/*/batch_id=*/slice=*")
+    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.globStatus(pattern):
+        name = status.getPath().getName()
+        if int(name.removeprefix("slice=")) < first:
+            files.delete(status.getPath(), True)
 
 
 def detect_on_batches(events: DataFrame, store: str, checkpoint: str,
                       deliver: Callable[[DataFrame, int], None], *, hours: float = 24.0,
                       ahead_hours: float = 24.0, params=None, detectors=None):
-    """Run the batch detectors per micro-batch over the trailing ``hours``.
-
-    Each micro-batch is written to ``store/batch_id=N/event_day=D`` (overwritten on a
-    replay, so a restart repeats nothing), then the stored rows of the trailing time, read
-    by day, go to the detectors and ``deliver(alerts, batch_id)`` gets their alerts. The
-    time trails the newest row of the whole store, so a batch of late rows alone moves
-    nothing back; rows more than ``ahead_hours`` past the clock do not count. Returns the
-    ``DataStreamWriter``; call ``trigger(...)`` and ``start()`` on it.
+    """Alerts of the trailing ``hours`` after each micro-batch, from state that adds up.
+
+    Of each micro-batch the rollups and the instants are written by slices of 15 minutes,
+    ``store/*/batch_id=N/slice=S`` (overwritten on a replay, so a restart repeats nothing);
+    its events are never read again. The rollups of the trailing slices are united, and
+    ``deliver(alerts, batch_id)`` gets what the detectors find in them: the alerts of the
+    batch detectors over the same whole slices. The time trails the newest row of the store,
+    so late rows alone move nothing back; slices that begin more than ``ahead_hours`` past the
+    clock do not count, those that have passed are deleted. Detectors of your own find the
+    host, name, time and failure of each event. Returns the ``DataStreamWriter``; call
+    ``trigger(...)`` and ``start()`` on it.
     """
-    day = F.to_date("timestamp")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        (batch.withColumn("event_day", day).write.mode("overwrite").partitionBy("event_day")
-         .parquet(f"{store}/batch_id={batch_id}"))
-        latest = F.current_timestamp() + F.make_dt_interval(mins=F.lit(ahead_hours * 60).cast("int"))
-        stored = spark.read.schema(f"{_ddl(EVENT_SCHEMA)}, batch_id int, event_day date").parquet(
-            store).where((F.col("event_day") <= F.to_date(latest)) & (F.col("timestamp") <= latest))
-        last_day = stored.agg(F.max("event_day")).first()[0]
-        if last_day is None:
+        batch = batch.persist()
+        stored = {}
+        for name, part in _parts(batch).items():
+            (part.write.mode("overwrite").partitionBy("slice")
+             .parquet(f"{store}/{name}/batch_id={batch_id}"))
+            columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in part.schema)
+            stored[name] = spark.read.schema(f"{columns}, batch_id int").parquet(f"{store}/{name}")
+        batch.unpersist()
+        clock = spark.range(1).select(F.unix_seconds(F.current_timestamp())).first()[0]
+        limit = (clock + round(ahead_hours * 3600)) // SLICE_SECONDS
+        counted = stored["names"].where(F.col("slice") <= limit)
+        last = counted.agg(F.max("slice")).first()[0]
+        if last is None:
             return
-        newest = F.lit(stored.where(F.col("event_day") == last_day).agg(F.max("timestamp")).first()[0])
-        start = newest - F.make_dt_interval(mins=F.lit(hours * 60).cast("int"))
-        recent = stored.where((F.col("event_day") >= F.to_date(start)) & (F.col("timestamp") >= start))
-        deliver(run_all_detectors(recent.drop("batch_id", "event_day"), params, detectors), batch_id)
+        newest = counted.where(F.col("slice") == last).agg(
+            F.max(F.unix_micros("last_seen"))).first()[0]
+        first = (newest - round(hours * 3_600_000_000)) // (SLICE_SECONDS * 1_000_000)
+        recent = {name: df.where(F.col("slice").between(first, limit)) for name, df in stored.items()}
+        deliver(run_all_detectors(
+            _instants_as_events(recent["instants"]), params, detectors,
+            names=united_names(recent["names"]), answers=united_answers(recent["answers"])), batch_id)
+        _expire(spark, store, first)
 
     return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)

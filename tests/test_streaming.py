@@ -163,6 +163,35 @@ def test_batch_detectors_on_micro_batches(spark, feed, make_events, tmp_path):
     assert seen[1] == sorted(union_alerts(make_events(rows), detectors=some).collect())
 
 
+def test_all_detectors_on_shuffled_micro_batches(spark, feed, make_events, tmp_path):
+    rows = shuffled_within(scenario_rows(), 4000, 1)
+    old = [{"timestamp": -200_000, "query_name": "dns.google", "src_ip": "10.9.9.9"}]
+    seen = {}
+
+    def deliver(alerts, batch_id):
+        seen[batch_id] = sorted(alerts.drop("alert_id").collect())
+
+    store = tmp_path / "store"
+    writer = st.detect_on_batches(
+        feed(old + rows, 3), str(store), str(tmp_path / "ck"), deliver, hours=24.0)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    assert seen[2] == sorted(union_alerts(make_events(rows)).collect())
+    # What has passed is gone, and events themselves are not kept.
+    assert {p.name for p in store.iterdir()} == {"names", "answers", "instants"}
+    slices = sorted(int(p.name.removeprefix("slice=")) for p in store.glob("*/*/slice=*"))
+    assert slices[0] * 900 > START.timestamp() - 86_400 - 900
+
+
+def test_state_of_micro_batches_does_not_grow_with_repeats(spark, make_events):
+    from nametrail.streaming.live import _parts
+
+    rows = [{"timestamp": i % 60, "query_name": f"h{i % 5}.x.com", "src_ip": f"10.0.0.{i % 4}"}
+            for i in range(240)]
+    once, often = make_events(rows), make_events(rows * 20)
+    for name, part in _parts(often).items():
+        assert part.count() == _parts(once)[name].count() <= 60, name
+
+
 def shuffled_within(rows, seconds, seed):
     """Rows in an order in which none is later than its neighbours by more than this."""
     import random
@@ -192,7 +221,8 @@ def test_late_rows_within_the_watermark_count(feed, drain, make_events, seed):
 
 
 def test_a_batch_of_late_rows_hides_nothing(spark, feed, make_events, tmp_path):
-    rows = in_time_order(scenario_rows())
+    # One micro-batch for each row or two: few rows, or it takes minutes.
+    rows = in_time_order([r for r in scenario_rows() if r["src_ip"] in ("10.0.0.5", "10.0.0.7")])
     late = [{"timestamp": -80_000, "query_name": "late.com"}]
     far = [{"timestamp": 10**9, "query_name": "future.com"}]
     seen = {}
