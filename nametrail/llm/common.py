@@ -38,10 +38,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: the session's checkpoint folder, or a new one where none is named."""
+    """The folder all machines share: the session's checkpoint folder, or a new one where none is
+    named and the session is local."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all machines share")
         named = f"file://{tempfile.mkdtemp(prefix='nametrail-shared-')}"
         sc.setCheckpointDir(named)
     return named.rstrip("/")

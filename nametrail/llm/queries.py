@@ -197,7 +197,7 @@ WORD_LETTERS = 7
 def letter_words(docs: DataFrame) -> DataFrame:
     """word, n: runs of letters in lower case; one in 31 by a hash of id and run lacks a letter.
 
-    A null id counts as an empty one. Runs are summed per document first.
+    A null id counts as an empty one.
     """
     runs = docs.select("doc_id", F.explode(F.regexp_extract_all(
         "text", F.lit(f"[A-Za-z\u00c0-\u00ff]{{{WORD_LETTERS},}}"), F.lit(0))).alias("run"))
