@@ -157,6 +157,24 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+OP7_SQL = """
+with lines as (
+  select doc_id, unnest(parts) as line, unnest(range(len(parts))) as i
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents)),
+keyed as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+common as (
+  select key, max(doc_id) as keeper from keyed where length(key) >= 40
+  group by key having count(distinct doc_id) >= 5),
+marked as (
+  select k.*, coalesce(c.keeper <> k.doc_id, false) as gone from keyed k left join common c on k.key = c.key)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+from marked group by doc_id
+"""
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -361,5 +379,5 @@ QUERIES: dict[str, Query] = {
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": pipeline,
 }
-SQL: dict[str, str] = {"op2_revisits": OP2_SQL, "op12_spelling": OP12_SQL,
+SQL: dict[str, str] = {"op2_revisits": OP2_SQL, "op7_line_dedup": OP7_SQL, "op12_spelling": OP12_SQL,
                        "op13_periodic_runs": OP13_SQL} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})

@@ -236,3 +236,7 @@ def test_one_of_several_texts_under_an_id_goes(spark):
                                   (None, other, "en", "s", 1)], schema)
     kept = corpus_pipeline.keep_unseen(spark, docs, SF).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(3, other), (0, other)])
+
+
+def test_line_dedup_equals_its_statement(spark):
+    assert differences(q.op7_line_dedup(spark, SF), *oracle_rows(duck(SF), q.OP7_SQL)) == []
