@@ -19,6 +19,9 @@ operations.
 
 from __future__ import annotations
 
+import re
+import string
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -37,11 +40,18 @@ COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 ESCAPE = 15
 BLOCK_IDS = 512
-#: Words whose ids a Python worker remembers before it starts anew.
+#: Words whose ids a Python worker remembers before it starts anew; a longer one counts as
+#: several, one of more than 64 times CACHE_CHARS is not kept.
 CACHE_WORDS = 700_000
 CACHE_CHARS = 48
-#: Marks that are pre-tokens of their own behind a word of letters.
-_MARKS = ".,:;!?"
+#: Letters of Unicode 3.2 below U+0530, which are letters in every later version too.
+_LETTERS = "".join(c for c in map(chr, range(0x530))
+                   if c.isalpha() and unicodedata.ucd_3_2_0.category(c)[0] == "L")
+#: Letters behind at most one space, and marks behind them.
+_MARKS = re.escape(string.punctuation)
+_PLAIN = re.compile(f"( ?[{_LETTERS}]+)([{_MARKS}]{{0,8}})")
+#: White space, as `str.split` sees it, but for space and line end.
+_OTHER_SPACES = [c for c in map(chr, range(0x10000)) if c.isspace() and c not in " \n"]
 _U = np.uint64
 
 
@@ -138,6 +148,48 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return ids
 
 
+class WordIds(dict):
+    """Ids of words with the white space before them, asked of the library when first met.
+
+    Letters, with a space before them or not, are one pre-token, and the marks behind them are
+    another. The library's model takes such pre-tokens without the steps before it, in the
+    characters that stand for their bytes. Other words take all steps.
+    """
+
+    def __init__(self, library, plain: bool) -> None:
+        super().__init__()
+        self.library, self.plain, self.tokenize = library, plain, library.model.tokenize
+        self.used = 0
+        self.line_end, self.marks = self._encode("\n"), lru_cache(4096)(self._encode)
+        self.shown = {ord(c): library.pre_tokenizer.pre_tokenize_str(c)[0][0]
+                      for c in " " + _LETTERS} if plain else {}
+
+    def _encode(self, text: str) -> bytes:
+        done = self.library.encode_batch_fast([text], add_special_tokens=False)
+        return array("I", done[0].ids).tobytes()
+
+    def __missing__(self, key: str) -> bytes:
+        behind_line = key[0] == "\n"
+        text = key[1:] if behind_line else " " + key
+        parts = _PLAIN.fullmatch(text) if self.plain else None
+        if parts is None:
+            ids = self._encode(text)
+        elif parts[2]:
+            ids = self[key[: -len(parts[2])]] + self.marks(parts[2])
+            behind_line = False
+        else:
+            ids = array("I", [t.id for t in self.tokenize(text.translate(self.shown))]).tobytes()
+        if behind_line:
+            ids = self.line_end + ids
+        if self.used >= CACHE_WORDS:
+            self.clear()
+            self.used = 0
+        if len(key) <= 64 * CACHE_CHARS:
+            self[key] = ids
+            self.used += 1 + len(key) // CACHE_CHARS
+        return ids
+
+
 class WordEncoder:
     """A byte-level BPE tokenizer that remembers the ids of words.
 
@@ -154,53 +206,36 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        plan = self.library.pre_tokenizer
+        plan, added = self.library.pre_tokenizer, self.library.get_added_tokens_decoder().values()
         self.by_words = type(plan).__name__ == "ByteLevel" and self.library.normalizer is None
         #: Ids of words behind a space, and of words with the line end before them.
-        self.known: dict[str, bytes] = {}
-        self.head = len(self._encode(["\n"])[0])
-        self.marks = dict(zip(_MARKS, self._encode(list(_MARKS))))
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        done = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in done]
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of all new words; letters and a mark behind them are two pre-tokens."""
-        known = self.known
-        bases = {w: w[:-1] for w in words if w[-1] in _MARKS and w[:-1].isalpha()}
-        plain = [w for w in {bases.get(w, w) for w in words} if w not in known]
-        new = dict(zip(plain, self._encode([w if w[0] == "\n" else " " + w for w in plain])))
-        for word, base in bases.items():
-            new[word] = (new[base] if base in new else known[base]) + self.marks[word[-1]]
-        return new
+        self.known = WordIds(self.library, plain=self.by_words and not any(
+            re.fullmatch(f"[{_LETTERS}]*[{_MARKS}]*", t.content) for t in added))
+        self.head = len(self.known.line_end)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes | None] = [None] * len(texts)
-        split: list[tuple[int, list[str]]] = []
-        missing: set[str] = set()
         known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
         for i, text in enumerate(texts):
-            if self.by_words and " ".join(text.split()) == text.replace("\n", " ") and text:
+            if self.by_words and single_spaced(text):
                 words = f"\n{text}".replace("\n", " \n").split(" ")[1:]
-                split.append((i, words))
-                missing |= set(words).difference(known)
-        new = self._learn(missing) if missing else {}
-        known.update(new)
-        for i, words in split:
-            out[i] = b"".join([known[w] for w in words])[self.head :]
-        for word in new:
-            if len(word) > CACHE_CHARS:
-                del known[word]
+                out[i] = b"".join(map(known.__getitem__, words))[self.head :]
         whole = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
-            out[i] = ids
+        done = self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
+        for i, x in zip(whole, done):
+            out[i] = array("I", x.ids).tobytes()
         return out
 
 
+def single_spaced(text: str) -> bool:
+    """Whether all white space of a text that is not empty is single spaces or line ends
+    between other characters."""
+    flat = text.replace("\n", " ")
+    return (flat != "" and "  " not in flat and flat[0] != " " != flat[-1]
+            and not any(c in flat for c in _OTHER_SPACES))
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     return WordEncoder(tokenizer_path(path))

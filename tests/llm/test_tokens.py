@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
+from nametrail.llm import token_files
 from nametrail.llm.common import Tables, tokenizer_path
 from nametrail.llm.token_files import BLOCK_IDS, encoder, pack, read_token_files, unpack, write_token_files
 from nametrail.llm.token_prefix import (
@@ -69,6 +70,54 @@ def test_words_have_the_ids_of_whole_texts():
     assert made.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in whole]
 
 
+def test_plain_words_skip_the_librarys_other_steps(monkeypatch):
+    """Words of letters, with marks behind them or not, cost one call of the model each."""
+    import tokenizers
+
+    taken = []
+
+    class Library:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, texts, **how):
+            taken.extend(texts)
+            return self.inner.encode_batch_fast(texts, **how)
+
+        @classmethod
+        def from_file(cls, path, load=tokenizers.Tokenizer.from_file):
+            return cls(load(path))
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Library)
+    made = token_files.WordEncoder(tokenizer_path("byte_bpe_50k.json"))
+    texts = ["thonre été, Ωmega жук$$$\nanhe. thonre.%%%", "sttible\nathawh, it's x1"]
+    whole = made.library.encode_batch(texts, add_special_tokens=False)
+    taken.clear()
+    assert made.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in whole]
+    assert sorted(x for x in taken if any(c.isalnum() for c in x)) == [" it's", " x1"]
+
+
+def test_letters_and_marks_have_the_librarys_ids():
+    made = encoder("byte_bpe_50k.json")
+    texts = [f"a {c}. x{c}, {c}y!\n{c}; z{c}??\nx{c} {c * 3}$$$$$$$$$" for c in token_files._LETTERS]
+    texts += [f"a{m} a{m}{m} {m}a\na{m} a{m}a {m}" for m in "".join(map(chr, range(33, 127)))]
+    whole = made.library.encode_batch(texts, add_special_tokens=False)
+    assert made.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in whole]
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 50)
+    made = token_files.WordEncoder(tokenizer_path("byte_bpe_50k.json"))
+    texts = [" ".join(f"{'ab' * (i % 7)}c{'d' * i}." for i in range(300)), "x" * 5000 + " y"]
+    whole = made.library.encode_batch(texts, add_special_tokens=False)
+    for _ in range(2):
+        assert made.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in whole]
+        assert len(made.known) <= 51 and sum(map(len, made.known)) <= 52 * 64 * token_files.CACHE_CHARS
+
+
 def test_token_files_of_odd_documents(spark, make_docs, odd_rows):
     from tokenizers import Tokenizer
 
