@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nametrail.llm import mixing, near_dup
+from nametrail.llm import ann, mixing, near_dup
 from nametrail.llm.ann import cosines, nearest
 from nametrail.llm.common import Tables
 from nametrail.llm.components import components
@@ -196,6 +196,51 @@ def test_nearest_of_few_vectors(spark):
     assert nearest(few.where("vec_id = 0")).count() == 0
 
 
+def test_nearest_in_shards_and_few_jobs(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD_LEAST_ROWS", 200)
+    rng = np.random.default_rng(14)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 16)))]
+    rows += [(4000 + 50 * i, rows[7][1]) for i in range(12)]  # queries that are copies
+    again = [rows[7]] * 4 + rows[100:103] * 9 + rows[-12:]
+    frame = spark.createDataFrame(rows + again, "vec_id bigint, embedding array<double>").repartition(5)
+    sc = spark.sparkContext
+    sc.setJobGroup("nearest", "nearest in shards")
+    try:
+        found = nearest(frame).collect()
+        jobs = sc.statusTracker().getJobIdsForGroup("nearest")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 20  # rounds and steps of the search are none of their own
+    got = defaultdict(list)
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((r.vec_id, r.score))
+    want = brute_nearest(rows)
+    assert set(got) == set(want)
+    hits = [i in dict(want[q]) for q, best in got.items() for i, _ in best]
+    assert len(hits) == 5 * len(want) and np.mean(hits) >= 0.98
+    assert all(got[q] == sorted(got[q], key=lambda x: (-x[1], x[0])) for q in got)
+    assert [i for i, _ in got[4000]] == [7, 4050, 4100, 4150, 4200]
+    assert [i for i, _ in got[4550]] == [7, 4000, 4050, 4100, 4150]
+    for q, best in got.items():
+        for i, score in best:
+            assert dict(want[q]).get(i, score) == pytest.approx(score, abs=1e-12)
+
+
+@pytest.mark.parametrize("rows", [1, 2, 20, 700])
+def test_graph_of_a_shard_like_brute_force(rows):
+    full = np.random.default_rng(15).normal(size=(rows, 13)).astype("<f4")
+    shard = ann.Shard(full, np.arange(rows))
+    graph = ann.build_graph(shard, 8)
+    unit = full / np.linalg.norm(full, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -np.inf)
+    want = np.argsort(-sims, axis=1)[:, : min(8, rows - 1)]
+    lists = [row[row >= 0].tolist() for row in graph]
+    assert all(len(set(x)) == len(x) == min(8, rows - 1) and k not in x for k, x in enumerate(lists))
+    hits = [i in want[k] for k, x in enumerate(lists) for i in x]
+    assert not hits or np.mean(hits) >= 0.95
+
+
 RECORDS = "record_id bigint, url string, ts bigint, kind string, headers map<string,string>, target string"
 
 
